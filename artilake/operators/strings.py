@@ -1,0 +1,33 @@
+"""Printable strings of payloads, with their byte offsets."""
+
+from __future__ import annotations
+
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def string_runs(payloads: DataFrame, id_col: str, text_col: str, least: int = 6) -> DataFrame:
+    """id, offset, text: maximal runs of printable ASCII of at least `least` bytes. No shuffle."""
+    pattern = re.compile(rb"[\x20-\x7e]{%d,}" % least)
+
+    def run(batches):
+        for batch in batches:
+            ids, at, found = [], [], []
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for m in pattern.finditer(data or b""):
+                    ids.append(key)
+                    at.append(m.start())
+                    found.append(m[0].decode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(found, pa.string())], ["id", "offset", "text"])
+
+    rows = payloads.select(F.col(id_col).cast("bigint").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("data"))
+    return rows.mapInArrow(run, "id bigint, offset bigint, text string")
+
+
+def string_stats(payloads: DataFrame, id_col: str, text_col: str, least: int = 6) -> DataFrame:
+    """id, runs, characters: in the JVM, without expanding the runs."""
+    runs = F.regexp_extract_all(F.col(text_col), F.lit("[\\x20-\\x7E]{%d,}" % least), F.lit(0))
+    return payloads.select(F.col(id_col).alias("id"), F.size(runs).cast("bigint").alias("runs"), F.aggregate(runs, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x)).alias("characters"))
