@@ -6,7 +6,7 @@ holds whole documents. Inside a block, ids are dealt over interleaved lanes, eac
 its own (64-bit state, 32-bit words), and the lanes' states are kept at checkpoints, so that a
 block can also be decoded from its middle. Payload and decoded ids carry a CRC-32 each.
 
-Block layout, little-endian: magic, counts (7 x u32), payload CRC, ids CRC (u32 each); document
+Block layout, little-endian: magic, counts (7 x u32), CRC of counts and payload, ids CRC (u32 each); document
 ids (i64), null marks (u8), document lengths (u32); for each checkpoint the word offset (u32) and
 the lanes' states (u64); words (u32).
 
@@ -117,7 +117,9 @@ def write_block(table: Table, docs: list[int | None], lens: list[int], ids: np.n
         *(struct.pack("<I", at) + s.astype("<u8").tobytes() for at, s in marks),
         words.astype("<u4").tobytes(),
     ])
-    return HEAD.pack(MAGIC, len(body), len(docs), len(ids), lanes, every, len(marks), len(words), zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes())) + body
+    counts = (MAGIC, len(body), len(docs), len(ids), lanes, every, len(marks), len(words))
+    crc = zlib.crc32(body, zlib.crc32(HEAD.pack(*counts, 0, 0)))
+    return HEAD.pack(*counts, crc, zlib.crc32(ids.astype("<u4").tobytes())) + body
 
 
 def read_block(table: Table, block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -126,7 +128,8 @@ def read_block(table: Table, block: bytes) -> tuple[list[int | None], np.ndarray
         raise Corrupt("not a block")
     _, size, n_docs, n, lanes, every, n_marks, n_words, crc, ids_crc = HEAD.unpack_from(block)
     body = memoryview(block)[HEAD.size :]
-    if len(body) != size or zlib.crc32(body) != crc:
+    head = HEAD.pack(MAGIC, size, n_docs, n, lanes, every, n_marks, n_words, 0, 0)
+    if len(body) != size or zlib.crc32(body, zlib.crc32(head)) != crc:
         raise Corrupt("the payload's checksum differs")
     docs, nulls, lens = np.frombuffer(body, "<i8", n_docs), np.frombuffer(body, "u1", n_docs, 8 * n_docs), np.frombuffer(body, "<u4", n_docs, 9 * n_docs)
     at, width = 13 * n_docs, 4 + 8 * lanes
