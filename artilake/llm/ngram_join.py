@@ -8,9 +8,10 @@ are counted fragment by fragment and summed, so no set is shipped or compared as
 Candidates: two sets as similar as asked share a code among the first n - ceil(t * n) + 1 of each
 in the global order (a bucket). Equal sets form one class and are compared once. Within a bucket
 pairs are not expanded: first every class is compared with the bucket's first one. Links give
-components; buckets that still hold several components are taken again, small ones by all pairs
-across components, large ones by one more leader a round, until none is left. So no link between
-components is missed, whatever a bucket's size, and a group of copies costs one comparison each.
+components. In buckets that still hold several, the strays (classes outside the bucket's largest
+component) are compared with the classes of other components, a growing number of strays a round,
+until each has had its turn or the bucket is one component. So no link between components is missed,
+whatever a bucket's size, and a group of copies costs one comparison each.
 
 Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. With fewer
 words than n the whole sequence is the one n-gram. Null texts, empty texts and texts without words
@@ -34,8 +35,8 @@ from .tokens import small_batches
 FRAGMENTS = 8  # of light codes; the heavy ones are one more
 #: A task reports a code as heavy that it finds this often among so many codes; the table keeps the heaviest.
 HEAVY_LOCAL, HEAVY_CODES, HEAVY_TABLE = 3, 4_000_000, 1 << 18
-#: Buckets up to this size are finished by all pairs across components.
-SMALL_BUCKET = 24
+#: So many classes of a bucket are compared with its other components in the first round; twice as many in each further one.
+LEADERS = 4
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -173,8 +174,8 @@ def components(links: DataFrame) -> DataFrame:
     labels = stored(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "c"), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c")).agg(F.min("label").alias("near"))
-        spread = stored(labels.join(near, "c").select("c", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
-        jump = spread.select(F.col("c").alias("label"), F.col("label").alias("over"))
+        spread = labels.join(near, "c").select("c", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("c").alias("label"), F.col("label").alias("over"))
         after = stored(spread.join(jump, "label").select("c", "was", F.least("label", "over").alias("label")), "labels")
         labels = after.select("c", "label")
         if not after.where("label < was").limit(1).count():
@@ -205,25 +206,27 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
     star = star.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").where(similar)
     links = stored(linked(stored(star, "pairs"), parts, percent), "links")
     labels = components(links)
-    active = buckets.where("size > 2 and c <> leader").select("code", "c", "n")
-    while True:  # each round finishes the small buckets and one leader of each large one
+    active, leaders = buckets.where("size > 2 and c <> leader").select("code", "c", "n"), LEADERS
+    while True:  # each round finishes some or all of the strays of each bucket
         named = active.join(labels, "c", "left").select("code", "c", "n", F.coalesce("label", "c").alias("label"))
-        several = named.groupBy("code").agg(F.count("*").alias("size"), F.min("c").alias("leader"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        several = stored(several.select("code", "size", "leader"), "several")
-        left = several.agg(F.max("size")).first()[0]
-        if left is None:
+        sizes_of = named.groupBy("code", "label").agg(F.count("*").alias("m")).groupBy("code").agg(F.sum("m").alias("size"), F.max(F.struct("m", "label")).alias("top"))
+        open_ = stored(sizes_of.where("size > top.m").select("code", F.col("top.label").alias("main"), F.ceil((F.col("size") - F.col("top.m")) / leaders).alias("turns")), "open")
+        turns = open_.agg(F.max("turns")).first()[0]
+        if turns is None:
             break
-        named = stored(named.join(several, "code"), "active")
-        one = named.select("code", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "size", "leader")
-        other = named.select("code", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = one.where((F.col("size") <= SMALL_BUCKET) | (F.col("a") == F.col("leader"))).join(other, "code").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & similar)
-        more = stored(linked(stored(pairs.select("a", "na", "b", "nb").distinct(), "pairs"), parts, percent), "links")
+        named = stored(named.join(open_, "code").withColumn("leads", (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("c", F.lit(leaders)), "turns") == 0)), "active")
+        one = named.where("leads").select("code", F.col("c").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"))
+        other = named.select("code", F.col("c").alias("q"), F.col("n").alias("nq"), F.col("label").alias("lq"))
+        pairs = one.join(other, "code").where(F.col("lp") != F.col("lq")).select(
+            F.least("p", "q").alias("a"), F.when(F.col("p") < F.col("q"), F.col("np")).otherwise(F.col("nq")).alias("na"), F.greatest("p", "q").alias("b"), F.when(F.col("p") < F.col("q"), F.col("nq")).otherwise(F.col("np")).alias("nb")
+        )
+        more = stored(linked(stored(pairs.where(similar).distinct(), "pairs"), parts, percent), "links")
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
-        if left <= SMALL_BUCKET:
+        if turns == 1:
             break
-        active = named.where((F.col("size") > SMALL_BUCKET) & (F.col("c") != F.col("leader"))).select("code", "c", "n")
+        active, leaders = named.where(~F.col("leads")).select("code", "c", "n"), 2 * leaders
 
     final = members.join(labels, "c", "left").select("id", "text_key", "n", "row", F.coalesce("label", "c", "row").alias("label"))
     final = stored(final, "labelled")
