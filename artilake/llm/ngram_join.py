@@ -37,6 +37,8 @@ FRAGMENTS = 8  # of light codes; the heavy ones are one more
 HEAVY_LOCAL, HEAVY_CODES, HEAVY_TABLE = 3, 4_000_000, 1 << 18
 #: So many classes of a bucket are compared with its other components in the first round; twice as many in each further one.
 LEADERS = 4
+#: In so many first rounds a class is compared in its largest bucket only.
+ONCE = 2
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -206,15 +208,19 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
     star = star.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").where(similar)
     links = stored(linked(stored(star, "pairs"), parts, percent), "links")
     labels = components(links)
-    active, leaders = buckets.where("size > 2 and c <> leader").select("code", "c", "n"), LEADERS
+    active, leaders, once = buckets.where("size > 2 and c <> leader").select("code", "c", "n"), LEADERS, ONCE
     while True:  # each round finishes some or all of the strays of each bucket
         named = active.join(labels, "c", "left").select("code", "c", "n", F.coalesce("label", "c").alias("label"))
         sizes_of = named.groupBy("code", "label").agg(F.count("*").alias("m")).groupBy("code").agg(F.sum("m").alias("size"), F.max(F.struct("m", "label")).alias("top"))
-        open_ = stored(sizes_of.where("size > top.m").select("code", F.col("top.label").alias("main"), F.ceil((F.col("size") - F.col("top.m")) / leaders).alias("turns")), "open")
+        open_ = stored(sizes_of.where("size > top.m").select("code", F.col("top.label").alias("main"), "size", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), (F.col("size") - F.col("top.m")) / leaders)))).cast("bigint").alias("turns")), "open")
         turns = open_.agg(F.max("turns")).first()[0]
         if turns is None:
             break
+        # turns are powers of two, so that the same classes lead in all of their buckets
         named = stored(named.join(open_, "code").withColumn("leads", (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("c", F.lit(leaders)), "turns") == 0)), "active")
+        if once > 0:  # most strays find their link in their largest bucket; the others are open to all later rounds
+            largest = named.where("leads").groupBy("c").agg(F.max(F.struct("size", "code")).alias("own")).select("c", F.col("own.code").alias("code"), F.lit(True).alias("chosen"))
+            named = stored(named.join(largest, ["c", "code"], "left").withColumn("leads", F.col("leads") & F.col("chosen").isNotNull()).drop("chosen"), "active")
         one = named.where("leads").select("code", F.col("c").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"))
         other = named.select("code", F.col("c").alias("q"), F.col("n").alias("nq"), F.col("label").alias("lq"))
         pairs = one.join(other, "code").where(F.col("lp") != F.col("lq")).select(
@@ -224,8 +230,9 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
-        if turns == 1:
+        if turns == 1 and once <= 0:
             break
+        once -= 1
         active, leaders = named.where(~F.col("leads")).select("code", "c", "n"), 2 * leaders
 
     final = members.join(labels, "c", "left").select("id", "text_key", "n", "row", F.coalesce("label", "c", "row").alias("label"))
