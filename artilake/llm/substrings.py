@@ -30,7 +30,7 @@ from .suffixes import suffix_array
 from .tokens import small_batches
 
 LENGTH, PART = 400, 160
-CHUNK_BYTES, SEGMENT = 6_000_000, 4_000_000
+CHUNK_BYTES, SEGMENT = 4_000_000, 1_500_000
 SHARD_BYTES, HOT = 2_000_000, 64
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
