@@ -168,7 +168,7 @@ def test_secrets(spark):
     assert [s.kind for s in got[2].base] == [1, 2]
     assert got[0].n_live == 1 and got[3].n_example == 1 and got[3].n_live == 0
     masked = {r.doc_id: r.text for r in secrets.masked(docs).collect()}
-    assert masked[0] == "é [SECRET] x" and masked[1] == texts[1]
+    assert masked[0] == 'é [SECRET]" x' and masked[1] == texts[1]
 
 
 def test_ngram_join(spark, corpus):
