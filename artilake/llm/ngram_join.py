@@ -7,7 +7,10 @@ are counted fragment by fragment and summed, so no set is shipped or compared as
 
 Candidates: two sets as similar as asked share a code among the first n - ceil(t * n) + 1 of each
 in the global order (a bucket). Equal sets form one class and are compared once. Within a bucket
-pairs are not expanded: first every class is compared with the bucket's first one. Links give
+pairs are not expanded: first every class is compared with the bucket's leader, the class in which
+the shared code stands foremost. A pair is compared only in buckets whose code, taken as the first
+that both share, leaves enough codes behind it in each: a linked pair passes in the bucket of its
+first shared code, and copies with many codes of their own pass with few others. Links give
 components. In buckets that still hold several, the strays (classes outside the bucket's largest
 component) are compared with the classes of other components, a growing number of strays a round,
 until each has had its turn or the bucket is one component. So no link between components is missed,
@@ -26,7 +29,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stored, text_key
@@ -194,23 +197,26 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
     classes = stored(rows.where("n > 0").groupBy("class").agg(F.min("row").alias("c")), "classes")
     members = stored(rows.select("id", "text_key", "n", "row", "class").join(classes, "class", "left").drop("class"), "members")
     ids = classes.select("c")
-    firsts = rows.join(ids, rows["row"] == ids["c"]).select("c", "n", F.explode("first").alias("code"))
-    shared = stored(firsts.groupBy("code").agg(F.count("*").alias("size"), F.min("c").alias("leader")).where("size > 1"), "codes")
+    firsts = rows.join(ids, rows["row"] == ids["c"]).select("c", "n", F.posexplode("first").alias("place", "code"))
+    firsts = firsts.select("c", "n", (F.col("n") - F.col("place")).alias("rest"), "code")
+    foremost = F.struct((F.col("n") - F.col("rest")).alias("place"), "c", "n", "rest")
+    shared = stored(firsts.groupBy("code").agg(F.count("*").alias("size"), F.min(foremost).alias("lead")).where("size > 1").select("code", "size", F.col("lead.c").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.rest").alias("leader_rest")), "codes")
     buckets = stored(firsts.join(shared, "code"), "buckets")
     wanted = buckets.select("c").distinct()
     texts = members.join(wanted, "c", "left_semi").where("row = c").select("c", F.col("id").alias("_id"), "text_key")
     body = source.join(texts, (source["text_key"] == texts["text_key"]) & source["id"].eqNullSafe(texts["_id"])).select("c", "text")
     parts = stored(fragments(body, order, width).groupBy("c", "fragment").agg(F.first("codes").alias("codes")), "fragments")
 
-    similar = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    sizes = members.where("row = c").select("c", "n")
-    star = buckets.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b"), F.col("n").alias("nb")).distinct()
-    star = star.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").where(similar)
+    def enough(n1: str, rest1: str, n2: str, rest2: str) -> Column:
+        """Could two sets be similar whose first shared code has so many codes from it on in each?"""
+        return F.least(rest1, rest2) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
+
+    star = buckets.where("c <> leader").where(enough("n", "rest", "leader_n", "leader_rest")).select(F.col("leader").alias("a"), F.col("leader_n").alias("na"), F.col("c").alias("b"), F.col("n").alias("nb")).distinct()
     links = stored(linked(stored(star, "pairs"), parts, percent), "links")
     labels = components(links)
-    active, leaders, once = buckets.where("size > 2 and c <> leader").select("code", "c", "n"), LEADERS, ONCE
+    active, leaders, once = buckets.where("size > 2 and c <> leader").select("code", "c", "n", "rest"), LEADERS, ONCE
     while True:  # each round finishes some or all of the strays of each bucket
-        named = active.join(labels, "c", "left").select("code", "c", "n", F.coalesce("label", "c").alias("label"))
+        named = active.join(labels, "c", "left").select("code", "c", "n", "rest", F.coalesce("label", "c").alias("label"))
         sizes_of = named.groupBy("code", "label").agg(F.count("*").alias("m")).groupBy("code").agg(F.sum("m").alias("size"), F.max(F.struct("m", "label")).alias("top"))
         open_ = stored(sizes_of.where("size > top.m").select("code", F.col("top.label").alias("main"), "size", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), (F.col("size") - F.col("top.m")) / leaders)))).cast("bigint").alias("turns")), "open")
         turns = open_.agg(F.max("turns")).first()[0]
@@ -221,19 +227,19 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
         if once > 0:  # most strays find their link in their largest bucket; the others are open to all later rounds
             largest = named.where("leads").groupBy("c").agg(F.max(F.struct("size", "code")).alias("own")).select("c", F.col("own.code").alias("code"), F.lit(True).alias("chosen"))
             named = stored(named.join(largest, ["c", "code"], "left").withColumn("leads", F.col("leads") & F.col("chosen").isNotNull()).drop("chosen"), "active")
-        one = named.where("leads").select("code", F.col("c").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"))
-        other = named.select("code", F.col("c").alias("q"), F.col("n").alias("nq"), F.col("label").alias("lq"))
-        pairs = one.join(other, "code").where(F.col("lp") != F.col("lq")).select(
+        one = named.where("leads").select("code", F.col("c").alias("p"), F.col("n").alias("np"), F.col("rest").alias("rp"), F.col("label").alias("lp"))
+        other = named.select("code", F.col("c").alias("q"), F.col("n").alias("nq"), F.col("rest").alias("rq"), F.col("label").alias("lq"))
+        pairs = one.join(other, "code").where((F.col("lp") != F.col("lq")) & enough("np", "rp", "nq", "rq")).select(
             F.least("p", "q").alias("a"), F.when(F.col("p") < F.col("q"), F.col("np")).otherwise(F.col("nq")).alias("na"), F.greatest("p", "q").alias("b"), F.when(F.col("p") < F.col("q"), F.col("nq")).otherwise(F.col("np")).alias("nb")
         )
-        more = stored(linked(stored(pairs.where(similar).distinct(), "pairs"), parts, percent), "links")
+        more = stored(linked(stored(pairs.distinct(), "pairs"), parts, percent), "links")
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
         if turns == 1 and once <= 0:
             break
         once -= 1
-        active, leaders = named.where(~F.col("leads")).select("code", "c", "n"), 2 * leaders
+        active, leaders = named.where(~F.col("leads")).select("code", "c", "n", "rest"), 2 * leaders
 
     final = members.join(labels, "c", "left").select("id", "text_key", "n", "row", F.coalesce("label", "c", "row").alias("label"))
     final = stored(final, "labelled")
