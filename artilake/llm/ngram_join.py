@@ -38,10 +38,10 @@ from .tokens import small_batches
 FRAGMENTS = 8  # of light codes; the heavy ones are one more
 #: A task reports a code as heavy that it finds this often among so many codes; the table keeps the heaviest.
 HEAVY_LOCAL, HEAVY_CODES, HEAVY_TABLE = 3, 4_000_000, 1 << 18
-#: So many classes of a bucket are compared with its other components in the first round; twice as many in each further one.
-LEADERS = 4
+#: So many classes of a bucket are compared with its other components in the first round; GROWTH times as many in each further one.
+LEADERS, GROWTH = 64, 8
 #: In so many first rounds a class is compared in its largest bucket only.
-ONCE = 2
+ONCE = 1
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -239,7 +239,7 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
         if turns == 1 and once <= 0:
             break
         once -= 1
-        active, leaders = named.where(~F.col("leads")).select("code", "c", "n", "rest"), 2 * leaders
+        active, leaders = named.where(~F.col("leads")).select("code", "c", "n", "rest"), GROWTH * leaders
 
     final = members.join(labels, "c", "left").select("id", "text_key", "n", "row", F.coalesce("label", "c", "row").alias("label"))
     final = stored(final, "labelled")
