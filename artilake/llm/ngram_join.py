@@ -42,6 +42,8 @@ HEAVY_LOCAL, HEAVY_CODES, HEAVY_TABLE = 3, 4_000_000, 1 << 18
 LEADERS, GROWTH = 64, 8
 #: In so many first rounds a class is compared in its largest bucket only.
 ONCE = 1
+#: Bits of the map that tells wanted texts from most others.
+SIEVE_BITS = 1 << 24
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -147,20 +149,33 @@ def sets(docs: DataFrame, order: Order, width: int, percent: int) -> DataFrame:
     return docs.select("id", "text_key", "text").mapInArrow(run, "id bigint, text_key binary, n bigint, class binary, first array<bigint>")
 
 
-def fragments(docs: DataFrame, order: Order, width: int) -> DataFrame:
-    """c, fragment, codes"""
-    shared = docs.sparkSession.sparkContext.broadcast((order.codes, order.rank))
+def fragments(source: DataFrame, heads: DataFrame, order: Order, width: int) -> DataFrame:
+    """c, fragment, codes of the classes in heads (c, id, text_key), from their texts in the source.
+    A bit map of SIEVE_BITS, whatever the input's size, tells most other texts apart where they are
+    read, so that no text is dealt out; the join by id and key is exact."""
+    heads = stored(heads, "wanted")
+    place = F.pmod(F.xxhash64("text_key"), F.lit(SIEVE_BITS))
+    maps = heads.select(place.alias("place")).groupBy(F.expr("bitmap_bucket_number(place)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits")).collect()
+    sieve = np.zeros(SIEVE_BITS // 8 + 4096, np.uint8)  # buckets of 4096 bytes, numbered from 1; number 0 holds place 0 only
+    for k, bits in maps:
+        sieve[k * 4096 : k * 4096 + 4096] = np.frombuffer(bits, np.uint8)
+    shared = source.sparkSession.sparkContext.broadcast((order.codes, order.rank, sieve))
+    at = F.expr("bitmap_bucket_number(place) * 32768 + bitmap_bit_position(place)")
 
     def run(batches):
         of = Order([])
-        of.codes, of.rank = shared.value
+        of.codes, of.rank, bits = shared.value
         for batch in small_batches(batches, 500):
-            rows = [(c, k, x.view(np.int64)) for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, x in of.fragments(codes(text, width))]
+            k = batch.column(3).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(bits[k >> 3] >> (k & 7).astype(np.uint8) & 1 == 1))
+            rows = [(i, key, k, x.view(np.int64)) for i, key, text in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True) for k, x in of.fragments(codes(text, width))]
             if rows:
-                c, k, x = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(k, pa.int32()), pa.array(x, pa.list_(pa.int64()))], ["c", "fragment", "codes"])
+                i, key, k, x = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(key, pa.binary()), pa.array(k, pa.int32()), pa.array(x, pa.list_(pa.int64()))], ["_id", "_key", "fragment", "codes"])
 
-    return docs.select("c", "text").mapInArrow(run, "c bigint, fragment int, codes array<bigint>")
+    found = source.withColumn("place", place).select("id", "text_key", "text", at.cast("bigint").alias("at")).mapInArrow(run, "_id bigint, _key binary, fragment int, codes array<bigint>")
+    exact = found.join(heads, (found["_key"] == heads["text_key"]) & found["_id"].eqNullSafe(heads["id"]))
+    return stored(exact.groupBy("c", "fragment").agg(F.first("codes").alias("codes")), "fragments")  # rows may repeat
 
 
 def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -198,21 +213,21 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
     members = stored(rows.select("id", "text_key", "n", "row", "class").join(classes, "class", "left").drop("class"), "members")
     ids = classes.select("c")
     firsts = rows.join(ids, rows["row"] == ids["c"]).select("c", "n", F.posexplode("first").alias("place", "code"))
-    firsts = firsts.select("c", "n", (F.col("n") - F.col("place")).alias("rest"), "code")
-    foremost = F.struct((F.col("n") - F.col("rest")).alias("place"), "c", "n", "rest")
-    shared = stored(firsts.groupBy("code").agg(F.count("*").alias("size"), F.min(foremost).alias("lead")).where("size > 1").select("code", "size", F.col("lead.c").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.rest").alias("leader_rest")), "codes")
-    buckets = stored(firsts.join(shared, "code"), "buckets")
-    wanted = buckets.select("c").distinct()
-    texts = members.join(wanted, "c", "left_semi").where("row = c").select("c", F.col("id").alias("_id"), "text_key")
-    body = source.join(texts, (source["text_key"] == texts["text_key"]) & source["id"].eqNullSafe(texts["_id"])).select("c", "text")
-    parts = stored(fragments(body, order, width).groupBy("c", "fragment").agg(F.first("codes").alias("codes")), "fragments")
+    shared = stored(firsts.groupBy("code").agg(F.count("*").alias("size"), F.min(F.struct("place", "c", "n")).alias("lead")).where("size > 1"), "codes")
+    buckets = stored(firsts.join(shared, "code").select("code", "c", "n", (F.col("n") - F.col("place")).alias("rest"), "size", F.col("lead.c").alias("leader"), F.col("lead.n").alias("leader_n"), (F.col("lead.n") - F.col("lead.place")).alias("leader_rest")), "buckets")
+    heads = members.where("row = c").select("c", "id", "text_key")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.distinct(), "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        return stored(linked(pairs, fragments(source, heads.join(ends, "c"), order, width), percent), "links")
 
     def enough(n1: str, rest1: str, n2: str, rest2: str) -> Column:
         """Could two sets be similar whose first shared code has so many codes from it on in each?"""
         return F.least(rest1, rest2) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
 
-    star = buckets.where("c <> leader").where(enough("n", "rest", "leader_n", "leader_rest")).select(F.col("leader").alias("a"), F.col("leader_n").alias("na"), F.col("c").alias("b"), F.col("n").alias("nb")).distinct()
-    links = stored(linked(stored(star, "pairs"), parts, percent), "links")
+    star = buckets.where("c <> leader").where(enough("n", "rest", "leader_n", "leader_rest")).select(F.col("leader").alias("a"), F.col("leader_n").alias("na"), F.col("c").alias("b"), F.col("n").alias("nb"))
+    links = compared(star)
     labels = components(links)
     active, leaders, once = buckets.where("size > 2 and c <> leader").select("code", "c", "n", "rest"), LEADERS, ONCE
     while True:  # each round finishes some or all of the strays of each bucket
@@ -232,7 +247,7 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
         pairs = one.join(other, "code").where((F.col("lp") != F.col("lq")) & enough("np", "rp", "nq", "rq")).select(
             F.least("p", "q").alias("a"), F.when(F.col("p") < F.col("q"), F.col("np")).otherwise(F.col("nq")).alias("na"), F.greatest("p", "q").alias("b"), F.when(F.col("p") < F.col("q"), F.col("nq")).otherwise(F.col("np")).alias("nb")
         )
-        more = stored(linked(stored(pairs.distinct(), "pairs"), parts, percent), "links")
+        more = compared(pairs)
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
