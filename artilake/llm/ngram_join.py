@@ -149,8 +149,9 @@ def sets(docs: DataFrame, order: Order, width: int, percent: int) -> DataFrame:
     return docs.select("id", "text_key", "text").mapInArrow(run, "id bigint, text_key binary, n bigint, class binary, first array<bigint>")
 
 
-def fragments(source: DataFrame, heads: DataFrame, order: Order, width: int) -> DataFrame:
-    """c, fragment, codes of the classes in heads (c, id, text_key), from their texts in the source.
+def fragments(source: DataFrame, heads: DataFrame, order: Order, width: int, only: int | None = None) -> DataFrame:
+    """c, fragment, codes of the classes in heads (c, id, text_key), from their texts in the source;
+    all fragments, or one.
     A bit map of SIEVE_BITS, whatever the input's size, tells most other texts apart where they are
     read, so that no text is dealt out; the join by id and key is exact."""
     heads = stored(heads, "wanted")
@@ -168,7 +169,7 @@ def fragments(source: DataFrame, heads: DataFrame, order: Order, width: int) ->
         for batch in small_batches(batches, 500):
             k = batch.column(3).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(bits[k >> 3] >> (k & 7).astype(np.uint8) & 1 == 1))
-            rows = [(i, key, k, x.view(np.int64)) for i, key, text in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True) for k, x in of.fragments(codes(text, width))]
+            rows = [(i, key, k, x.view(np.int64)) for i, key, text in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True) for k, x in of.fragments(codes(text, width)) if only in (None, k)]
             if rows:
                 i, key, k, x = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(key, pa.binary()), pa.array(k, pa.int32()), pa.array(x, pa.list_(pa.int64()))], ["_id", "_key", "fragment", "codes"])
@@ -178,6 +179,17 @@ def fragments(source: DataFrame, heads: DataFrame, order: Order, width: int) ->
     return stored(exact.groupBy("c", "fragment").agg(F.first("codes").alias("codes")), "fragments")  # rows may repeat
 
 
+def hopeful(pairs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, na, b, nb) that may be similar by what they share in one fragment, if all else
+    of the smaller set were shared. It drops no similar pair."""
+    left = pairs.join(part.select(F.col("c").alias("a"), F.col("codes").alias("ca")), "a", "left")
+    both = left.join(part.select(F.col("c").alias("b"), F.col("codes").alias("cb")), "b", "left")
+    size_a, size_b = (F.when(F.col(x).isNull(), 0).otherwise(F.size(x)) for x in ("ca", "cb"))
+    shared = F.when(F.col("ca").isNull() | F.col("cb").isNull(), 0).otherwise(F.size(F.array_intersect("ca", "cb")))
+    most = shared + F.least(F.col("na") - size_a, F.col("nb") - size_b)
+    return both.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "na", "b", "nb")
+
+
 def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs (a, na, b, nb) that are similar. Partial overlaps are counted by fragment and summed."""
     left = pairs.join(parts.select(F.col("c").alias("a"), "fragment", F.col("codes").alias("ca")), "a")
@@ -218,9 +230,13 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
     heads = members.where("row = c").select("c", "id", "text_key")
 
     def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar: first by one fragment, then what is left by all."""
         pairs = stored(pairs.distinct(), "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        return stored(linked(pairs, fragments(source, heads.join(ends, "c"), order, width), percent), "links")
+        pairs = stored(hopeful(pairs, fragments(source, ends(pairs), order, width, 0), percent), "hopeful")
+        return stored(linked(pairs, fragments(source, ends(pairs), order, width), percent), "links")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return heads.join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c")
 
     def enough(n1: str, rest1: str, n2: str, rest2: str) -> Column:
         """Could two sets be similar whose first shared code has so many codes from it on in each?"""
