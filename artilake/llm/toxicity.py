@@ -28,6 +28,8 @@ from .tokens import small_batches
 
 #: Documented bounds of the fit: documents of each class, and words of the model.
 SAMPLE_DOCS, WORDS = 3000, 4000
+#: So many sampled (id, label) rows are broadcast, so that no text is shuffled; beyond it the texts are.
+BROADCAST_ROWS = 100_000
 RIDGE, SWAP_PENALTY, ROUNDS = 2e-3, 1.0, 300
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -121,7 +123,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     n = {r[0]: r[1] for r in ids.groupBy("_label").count().collect()}
     chance = F.when(F.col("_label") == 1, min(1.0, sample_docs / max(1, n.get(1, 0)))).otherwise(min(1.0, sample_docs / max(1, n.get(0, 0))))
     order = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30))
-    rows = docs.where(train).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(known.where(order < chance * float(1 << 30)), "_id")
+    picked = known.where(order < chance * float(1 << 30)).join(ids.select("_id").distinct(), "_id", "left_semi")
+    if picked.count() <= BROADCAST_ROWS:  # else, as when few ids have very many labels, an ordinary join
+        picked = F.broadcast(picked)
+    rows = docs.where(train).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id")
     sample = sorted(rows.collect(), key=lambda r: (r["_id"], r["_label"], r["_text"] or ""))
     prior = n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
     return fit([r["_text"] or "" for r in sample], [r["_label"] for r in sample], prior)
