@@ -1,6 +1,6 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-A logistic regression over the presence of words. During training, identity terms in labelled
+A logistic regression over how densely words and their beginnings stand in a text. During training, identity terms in labelled
 sentences are swapped for other terms of their group, and the squared change of the sentence's
 score is penalised, so that naming a group moves the score little by itself.
 
@@ -17,6 +17,8 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from collections.abc import Iterable
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,9 @@ from .tokens import small_batches
 SAMPLE_DOCS, WORDS = 3000, 4000
 #: So many sampled (id, label) rows are broadcast, so that no text is shuffled; beyond it the texts are.
 BROADCAST_ROWS = 100_000
-RIDGE, SWAP_PENALTY, ROUNDS = 2e-3, 1.0, 300
+RIDGE, SWAP_PENALTY, ROUNDS = 2e-4, 1.0, 300
+#: The chance that any word of the model is unrelated to the label (chi-squared test, Bonferroni bound).
+CHANCE = 0.05
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -43,6 +47,10 @@ IDENTITY = (
     ("american", "mexican", "chinese", "indian", "russian", "german", "french", "spanish", "british"),
     ("deaf", "blind", "disabled", "autistic", "elderly", "young", "old"),
 )
+#: Lengths of the beginnings of words that are features too.
+STEMS = (5, 6, 7)
+#: One occurrence in so many words counts in full, sparser ones in proportion.
+DENSE = 100
 GROUP = {term: group for group in IDENTITY for term in group}
 
 
@@ -50,6 +58,23 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
+def forms(words: Iterable[str]) -> set[str]:
+    """The words and their longer beginnings, so that forms of one stem count together."""
+    out = set(words)
+    return out | {w[:n] + "-" for w in out for n in STEMS if len(w) > n}
+
+
+def features(text: str | None, known: frozenset[str] | None = None) -> dict[str, float]:
+    """The forms in the text (those known, if given), each with how dense it stands: 1 from one in DENSE words on."""
+    words = Counter(WORD.findall(text.lower())) if text else Counter()
+    size, out = DENSE / max(1, words.total()), Counter()
+    for w, n in words.items():
+        for form in (w, *(w[:k] + "-" for k in STEMS if len(w) > k)):
+            if known is None or form in known:
+                out[form] += n
+    return {form: min(1.0, n * size) for form, n in out.items()}
+
+
 def swapped(sentence: set[str], rng: random.Random) -> set[str] | None:
     """The sentence's words with each identity term replaced by another of its group; None if it has none."""
     terms = sentence & GROUP.keys()
@@ -63,18 +88,18 @@ class Model:
         self.weights, self.bias, self.known = weights, bias, frozenset(weights)
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(sorted(map(self.weights.__getitem__, self.known & words_of(text))))
+        z = self.bias + sum(sorted(self.weights[form] * v for form, v in features(text, self.known).items()))
         return float(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))
 
 
-def fit(texts: list[str], labels: list[int], prior: float, words: int = WORDS, ridge: float = RIDGE, penalty: float = SWAP_PENALTY, rounds: int = ROUNDS, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], prior: float, words: int = WORDS, ridge: float = RIDGE, penalty: float = SWAP_PENALTY, rounds: int = ROUNDS, chance: float = CHANCE, seed: int = 7) -> Model:
     """`prior`: the share of toxic documents among all labelled ones, of which the texts are a sample by class."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         share = min(max(prior, 1e-6), 1 - 1e-6)
         return Model({}, float(np.log(share / (1 - share))))
-    sets = [words_of(t) for t in texts]
-    of = [Counter(w for s, z in zip(sets, labels, strict=True) if z == k for w in s) for k in (0, 1)]
+    sets = [features(t) for t in texts]
+    of = [Counter(w for s, z in zip(sets, labels, strict=True) if z == k for w, v in s.items() if v >= 0.5) for k in (0, 1)]
     n = [float((y == k).sum()) for k in (0, 1)]
 
     def gain(w: str) -> float:  # chi-squared of presence against class
@@ -83,10 +108,13 @@ def fit(texts: list[str], labels: list[int], prior: float, words: int = WORDS, r
         return len(y) * (a * d - b * c) ** 2 / max(1.0, n[0] * n[1] * (a + b) * (c + d))
 
     often = [w for w in of[0].keys() | of[1].keys() if of[0][w] + of[1][w] >= 3]
-    vocab = {w: k for k, w in enumerate(sorted(often, key=lambda w: (-gain(w), w))[:words])}
+    # chance alone lets a word pass in one fit of 1 / CHANCE: without this, rare words of few toxic documents drown the telling ones
+    least = NormalDist().inv_cdf(1 - chance / (2 * max(1, len(often)))) ** 2
+    telling = [w for w in often if gain(w) >= least]
+    vocab = {w: k for k, w in enumerate(sorted(telling, key=lambda w: (-gain(w), w))[:words])}
     vocab |= {w: len(vocab) + k for k, w in enumerate(sorted(GROUP.keys() - vocab.keys()))}
 
-    def matrix(rows: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
         cols = [[vocab[w] for w in s if w in vocab] for s in rows]
         return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.array([c for x in cols for c in x], np.int64)
 
@@ -95,17 +123,19 @@ def fit(texts: list[str], labels: list[int], prior: float, words: int = WORDS, r
     for text in texts:
         for part in SENTENCE.split(text or ""):
             if (here := words_of(part)) and (other := swapped(here, rng)):
+                here, other = forms(here), forms(other)
                 pairs.append((here - other, other - here))
     rows, cols = matrix(sets)
+    value = np.array([v for s in sets for w, v in s.items() if w in vocab], float)
     gone_r, gone_c = matrix([a for a, _ in pairs])
     come_r, come_c = matrix([b for _, b in pairs])
     w, bias, step = np.zeros(len(vocab)), 0.0, np.zeros(len(vocab) + 1)
     weight = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])  # the classes count alike
     second = np.full(len(vocab) + 1, 1e-8)
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], len(y)) + bias, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols] * value, len(y)) + bias, -40, 40)))
         r = weight * (p - y)
-        grad = np.bincount(cols, r[rows], len(w)) + ridge * w
+        grad = np.bincount(cols, r[rows] * value, len(w)) + ridge * w
         if pairs:
             move = (np.bincount(come_r, w[come_c], len(pairs)) - np.bincount(gone_r, w[gone_c], len(pairs))) * (penalty / len(pairs))
             grad += np.bincount(come_c, move[come_r], len(w)) - np.bincount(gone_c, move[gone_r], len(w))
