@@ -98,8 +98,9 @@ def fit(texts: list[str], labels: list[int], prior: float, words: int = WORDS, r
     if not len(y) or y.min() == y.max():
         share = min(max(prior, 1e-6), 1 - 1e-6)
         return Model({}, float(np.log(share / (1 - share))))
-    sets = [features(t) for t in texts]
-    of = [Counter(w for s, z in zip(sets, labels, strict=True) if z == k for w, v in s.items() if v >= 0.5) for k in (0, 1)]
+    of = [Counter(), Counter()]  # only dense forms are counted, and only the model's are held for each text
+    for text, label in zip(texts, labels, strict=True):
+        of[label].update(w for w, v in features(text).items() if v >= 0.5)
     n = [float((y == k).sum()) for k in (0, 1)]
 
     def gain(w: str) -> float:  # chi-squared of presence against class
@@ -125,6 +126,7 @@ def fit(texts: list[str], labels: list[int], prior: float, words: int = WORDS, r
             if (here := words_of(part)) and (other := swapped(here, rng)):
                 here, other = forms(here), forms(other)
                 pairs.append((here - other, other - here))
+    sets = [features(t, frozenset(vocab)) for t in texts]
     rows, cols = matrix(sets)
     value = np.array([v for s in sets for w, v in s.items() if w in vocab], float)
     gone_r, gone_c = matrix([a for a, _ in pairs])
