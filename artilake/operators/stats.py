@@ -51,3 +51,10 @@ def headline(stats: DataFrame, group: str) -> DataFrame:
     """The payload with the highest entropy of each group, the smallest id first. Map-side maximum."""
     best = F.max(F.struct(F.round("entropy", 4).alias("entropy"), (-F.col("id")).alias("order")))
     return stats.groupBy(group).agg(best.alias("best"), F.count("*").alias("payloads")).select(group, (-F.col("best.order")).alias("id"), F.col("best.entropy").alias("entropy"), "payloads")
+
+
+def blank(content: Column) -> Column:
+    """Are 99 % of the first MiB's bytes 0x00 or 0xFF? Nothing at all is blank. In the JVM, over spaced hex digits."""
+    spaced = F.regexp_replace(F.hex(F.substring(content, 1, 1 << 20)), "(..)", "$1 ")
+    other = F.length(F.replace(F.replace(spaced, F.lit("00 ")), F.lit("FF ")))
+    return other * 100 <= F.length(spaced)

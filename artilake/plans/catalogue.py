@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import inventory, signatures, stats, strings
+from ..operators import documents, inventory, signatures, stats, strings
+from ..sources import control, images
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -256,3 +257,38 @@ def scalar_keys(spark, sf_dir):
     rows = [(1, "pkg:deb/debian/curl@7.88?arch=arm", "libc6 (>= 2.3), zlib1g | zlib1g-dev, libc6:any", "libssl.so.1.1", 18292771), (2, "pkg:npm/left-pad", "busybox", "libfoo.so", 305209369)]
     t = spark.createDataFrame(rows, "id int, purl string, deps string, so string, bcd bigint")
     return t.select("id", scalars.purl_base(F.col("purl")).alias("purl_base"), F.array_join(scalars.depends(F.col("deps")), ",").alias("depends"), scalars.soname_key(F.col("so")).alias("soname"), scalars.bcd_date(F.col("bcd")).alias("date"))
+
+
+@query("select event_id, event_type, json_extract(props, '$.k')::bigint k from events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query(f"with {BYTES} select doc_id, avg((x in ('00', 'FF'))::int) >= 0.99 as blank from b where o < 1048576 group by doc_id union all select doc_id, true from documents where strlen(text) = 0")
+def blank_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", stats.blank(F.encode("text", "UTF-8")).alias("blank"))
+
+
+CONTROL = "Package: busybox\nVersion: 1.35\nStatus: install ok installed\nDepends: libc,\n libcrypt\n\nPackage: gone\nVersion: 2\nStatus: deinstall ok\n\nVersion: 3\n\nPackage: curl\nVersion: 7\nVersion: 8\n"
+
+
+@query("select id, name, version, architecture, depends from (values (1, 'busybox', '1.35', null::varchar, 'libc, libcrypt'), (1, 'curl', '8', null, null)) t(id, name, version, architecture, depends)")
+def control_blocks(spark, sf_dir):
+    return control.packages(spark.createDataFrame([(1, CONTROL)], "id int, text string"), "id", "text")
+
+
+@query()
+def cyclonedx_doc(spark, sf_dir):
+    source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    return documents.cyclonedx(signatures.merged(hits(spark, sf_dir).join(source, "id"), "source"), "source")
+
+
+@query()
+def spdx_doc(spark, sf_dir):
+    return documents.spdx(cyclonedx_doc(spark, sf_dir), "source")
+
+
+@query("select page_id, 'raw' kind, strlen(html) n_bytes from pages")
+def image_kinds(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    return pages.select("page_id", images.kind(F.col("content")).alias("kind"), F.octet_length("content").cast("bigint").alias("n_bytes"))
