@@ -4,7 +4,8 @@ Item and document are compared as normalised text: lower case, each run of chara
 neither letters nor digits as one space. A region of a document matches an item of n characters
 when one can be turned into the other with at most e = floor(BUDGET * n) edits. By the q-gram lemma
 such a region shares at least n + 1 - q * (e + 1) q-grams with the item, on diagonals that differ
-by e at most. Shared q-grams are counted in diagonal bands of width 2 * (e + 1) that overlap by
+by e at most. q is Q, or for an item where that bound would not be positive the largest q with
+q * (e + 1) <= n; items are indexed by their q, so that e is never cut. Shared q-grams are counted in diagonal bands of width 2 * (e + 1) that overlap by
 half, so that every such set of diagonals lies whole in one band; bands below the bound are
 dropped, and the others are verified by a banded semi-global alignment.
 
@@ -29,9 +30,11 @@ from .common import documents
 from .tokens import small_batches
 
 Q, BUDGET = 12, 0.07
-#: q * (e + 1) must stay below n: items shorter than this are matched exactly.
+#: Items shorter than this are matched exactly.
 MIN_CHARS = 40
 BLOCK_CHARS = 4_000_000
+#: Texts that share more q-grams with the items of one q are searched in overlapping halves.
+MOST_HITS = 8_000_000
 BETWEEN = re.compile(r"[\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -83,66 +86,49 @@ def edits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]
     return (int(cost[end]), int(begin[end]), end) if cost[end] <= most else None
 
 
-class Index:
-    """The q-grams of a block of items."""
+class Grams:
+    """The q-grams of the items of a block that share one q."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, budget: float = BUDGET):
-        self.q, self.items, self.short = q, [], []
-        hashes, owner, place = [], [], []
-        for item, text in items:
-            plain = normal(text)
-            if not plain:
-                continue
-            if len(plain) < MIN_CHARS:
-                self.short.append((item, f" {plain} "))
-                continue
-            x = codes(plain)
-            e = min(int(budget * len(x)), (len(x) - 1) // q - 1)
-            g = grams(x, q)
-            hashes.append(g)
-            owner.append(np.full(len(g), len(self.items)))
-            place.append(np.arange(len(g)))
-            self.items.append((item, x, plain, e))
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    def __init__(self, items: list[tuple[int, np.ndarray, str, int]], q: int):
+        self.q, self.items = q, items
+        made = [grams(x, q) for _, x, _, _ in items]
+        flat, n = np.concatenate(made), [len(g) for g in made]
         order = np.argsort(flat, kind="stable")
         self.keys, self.first = np.unique(flat[order], return_index=True)
         self.last = np.append(self.first[1:], len(flat))
-        self.owner = np.concatenate(owner)[order] if hashes else order
-        self.place = np.concatenate(place)[order] if hashes else order
+        self.owner = np.repeat(np.arange(len(items)), n)[order]
+        self.place = np.concatenate([np.arange(k) for k in n])[order]
         self.marks = np.zeros(1 << 22, bool)
         self.marks[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-        self.budget = np.array([i[3] for i in self.items], np.int64)
-        self.bound = np.array([len(i[1]) + 1 - q * (i[3] + 1) for i in self.items], np.int64)
-
-    def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in g, item, position in the item) of every shared q-gram."""
-        none = np.zeros(0, np.int64)
-        if not len(self.keys):
-            return none, none, none
+        self.budget = np.array([i[3] for i in items], np.int64)
+        self.bound = np.array([len(i[1]) + 1 - q * (i[3] + 1) for i in items], np.int64)
+        self.reach = max(len(i[1]) + i[3] for i in items)  # no region is longer
+
+    def shared(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in g, its key, how often the items have it) of every q-gram that items have."""
         pos = np.flatnonzero(self.marks[(g >> np.uint64(42)).astype(np.int64)])
         k = np.searchsorted(self.keys, g[pos])
         k[k == len(self.keys)] = 0
         same = self.keys[k] == g[pos]
         pos, k = pos[same], k[same]
-        n = self.last[k] - self.first[k]
-        at = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.repeat(pos, n), self.owner[at], self.place[at]
+        return pos, k, self.last[k] - self.first[k]
 
-    def matches(self, text: str, g: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item id, start, end, edits) in the normalised text; one region per item and band."""
-        padded = f" {text} "
-        for item, plain in self.short:
-            at = padded.find(plain)
-            while at >= 0:
-                yield item, at, at + len(plain) - 2, 0
-                at = padded.find(plain, at + 1)
-        pos, owner, place = self.hits(g)
+    def matches(self, text: str, g: np.ndarray, start: int = 0) -> Iterator[tuple[int, int, int, int]]:
+        """(item id, start, end, edits) in the normalised text, whose q-grams from `start` on are g; one region per item and band."""
+        pos, k, n = self.shared(g)
         if not len(pos):
             return
+        if n.sum() > MOST_HITS and len(g) > 2 * self.reach:  # every region lies whole in one half
+            middle = len(g) // 2
+            yield from self.matches(text, g[: middle + self.reach], start)
+            yield from self.matches(text, g[middle:], start + middle)
+            return
+        at = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        pos, owner, place = np.repeat(pos, n) + start, self.owner[at], self.place[at]
         width = self.budget[owner] + 1
         diagonal = pos - place
         half = diagonal // width  # band k holds the diagonals of halves k and k + 1
-        owner, band, pos = np.concatenate([owner, owner]), np.concatenate([half, half - 1]), np.concatenate([pos, pos])
+        owner, band = np.concatenate([owner, owner]), np.concatenate([half, half - 1])
         order = np.lexsort((band, owner))
         o, b = owner[order], band[order]
         new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (b[1:] != b[:-1])])
@@ -157,12 +143,44 @@ class Index:
             elif found := edits(y, codes(text[low:high]), e):
                 yield item, low + found[1], low + found[2], found[0]
 
+
+class Index:
+    """A block of items: short ones, and the others by their q."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, budget: float = BUDGET):
+        if not 0 <= budget < 1:
+            raise ValueError("budget: at least 0 and below 1")
+        self.short, by_q = [], {}
+        for item, text in items:
+            plain = normal(text)
+            if not plain:
+                continue
+            if len(plain) < MIN_CHARS:
+                self.short.append((item, f" {plain} "))
+                continue
+            x = codes(plain)
+            e = int(budget * len(x))
+            by_q.setdefault(min(q, len(x) // (e + 1)), []).append((item, x, plain, e))
+        self.parts = [Grams(part, n) for n, part in by_q.items()]
+
+    def matches(self, text: str, at: int, made: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(item id, start, end, edits) in the normalised text; made: by part, the q-grams of texts of which this one begins at `at`."""
+        padded = f" {text} "
+        for item, plain in self.short:
+            found = padded.find(plain)
+            while found >= 0:
+                yield item, found, found + len(plain) - 2, 0
+                found = padded.find(plain, found + 1)
+        for part, g in zip(self.parts, made, strict=True):
+            yield from part.matches(text, g[at : at + max(0, len(text) - part.q + 1)])
+
     def scan(self, texts: list[str | None]) -> Iterator[Iterator[tuple[int, int, int, int]]]:
         """matches() of each text; the q-grams of all are made at once."""
         plain = [normal(x) for x in texts]
-        g, at = grams(codes("\0".join(plain) + "\0" * self.q), self.q), 0
+        joined, at = "\0".join(plain), 0
+        made = [grams(codes(joined + "\0" * part.q), part.q) for part in self.parts]
         for text in plain:
-            yield self.matches(text, g[at : at + max(0, len(text) - self.q + 1)])
+            yield self.matches(text, at, made)
             at += len(text) + 1
 
 

@@ -202,6 +202,40 @@ def test_decontamination(spark):
     assert decontaminate.find(frame(spark, texts), items.where("false")).count() == 0
 
 
+def test_decontamination_spends_the_whole_budget(spark, monkeypatch):
+    def least(item, text):  # edits of the best region, cell by cell
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            above, row = row, [i]
+            for j, d in enumerate(text, 1):
+                row.append(min(above[j - 1] + (c != d), above[j] + 1, row[-1] + 1))
+        return min(row)
+
+    r = random.Random(8)
+    for budget, lengths in ((decontaminate.BUDGET, (40, 43, 45, 47, 48, 57, 58, 59, 60, 71, 72, 73, 100)), (0.2, (41, 60, 90)), (0.45, (44,))):
+        items = [(n, "".join(r.choice("abcdefghijklmnop") for _ in range(n))) for n in lengths]
+        texts = [prose(1, 40), "abc"]
+        for n, item in items:
+            for e in (int(budget * n) - 1, int(budget * n), int(budget * n) + 1):
+                x = list(item)
+                for k in range(e):  # spread evenly: no long q-gram stays whole
+                    x[(k + 1) * n // (e + 1) - 1] = "xyz"[k % 3]
+                texts.append(f"{prose(n, 6)} {''.join(x)} {prose(n + 1, 6)}")
+        want = {(d, n) for d, text in enumerate(texts) for n, item in items if least(item, text) <= int(budget * n)}
+        assert {(3 + 3 * k, n) for k, n in enumerate(lengths)} <= want
+        table = spark.createDataFrame(items, "item_id bigint, text string")
+        assert {(x.id, x.item_id) for x in decontaminate.find(frame(spark, texts), table, budget=budget).collect()} == want
+        assert {x.doc_id for x in decontaminate.keep_clean(frame(spark, texts), table, budget=budget).collect()} == set(range(len(texts))) - {d for d, _ in want}
+        index = decontaminate.Index(items, budget=budget)
+        once = [sorted(set(x)) for x in index.scan([" ".join(texts) * 3])]
+        monkeypatch.setattr(decontaminate, "MOST_HITS", 10)  # in overlapping halves
+        halves = [sorted(set(x)) for x in index.scan([" ".join(texts) * 3])]
+        monkeypatch.undo()
+        assert {x[0] for x in halves[0]} == {x[0] for x in once[0]} and set(halves[0]) <= set(once[0])
+    with pytest.raises(ValueError):
+        decontaminate.Index([], budget=1.0)
+
+
 def test_language(spark):
     en, de = ["the house and the river with them"] * 5, ["das haus und der fluss mit ihnen"] * 5
     of = language.Classifier([("en", language.plain(" ".join(en))), ("de", language.plain(" ".join(de)))])
