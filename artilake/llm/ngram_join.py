@@ -279,14 +279,16 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
 
 
 def keep_first(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns, that stand for their component. Rows that repeat an id and text stay once."""
+    """The rows, all columns, that stand for their component. Rows that repeat an id and text stay once; all rows without words stay."""
     grouped = stored(join(docs, width, percent, id_col, text_col), "grouped")
-    heads = grouped.where("row = component_row").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
-    heads = stored(heads.union(grouped.where("n = 0").select("id", "text_key")).distinct(), "kept")
+    heads = grouped.where("row = component_row or n = 0").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), (F.col("n") > 0).alias("_words"))
+    heads = stored(heads.distinct(), "kept")
     key = text_key(F.coalesce(docs[text_col], F.lit("")))
-    kept = docs.join(heads, (key == heads["_key"]) & docs[id_col].cast("bigint").eqNullSafe(heads["_id"]), "left_semi")
-    again = grouped.where("n > 0").groupBy("id", "text_key").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if again else kept
+    same = (key == heads["_key"]) & docs[id_col].cast("bigint").eqNullSafe(heads["_id"])
+    if not grouped.where("n > 0").groupBy("id", "text_key").count().where("count > 1").limit(1).count():
+        return docs.join(heads, same, "left_semi")
+    with_words = docs.join(heads, same & heads["_words"], "left_semi").dropDuplicates([id_col, text_col])
+    return with_words.union(docs.join(heads, same & ~heads["_words"], "left_semi"))
 
 
 def op9_vertical_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,15 @@ def test_ngram_join(spark, corpus):
         assert sorted(r.doc_id for r in ngram_join.keep_first(corpus, width, percent).collect()) == sorted(set(root.values()))
 
 
+def test_near_copies_keep_all_rows_without_words(spark):
+    texts, ids = ["", "", None, None, " \n", " \n", "", ""], [None, None, None, None, 5, 5, 6, 6]
+    again = prose(7, 60)
+    for extra, extra_ids in (([prose(8, 60)], [3]), ([again, again], [3, 3]), ([again, again], [None, None])):
+        kept = ngram_join.keep_first(frame(spark, texts + extra, ids + extra_ids), 5, 80).collect()
+        assert sorted(r.row for r in kept if r.row < len(texts)) == list(range(len(texts)))
+        assert len(kept) == len(texts) + 1
+
+
 def test_decontamination(spark):
     item = prose(42, 40)
     words = item.split()
