@@ -18,9 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; the setting is filled in only where the session has none."""
+    """A new path in the shared folder; in local mode alone, a temporary folder stands in where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_artilake_dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="artilake-")
         spark._artilake_dir = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -31,7 +33,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for table in tables:
+        files, name = scratch_fs(table.stored_at)
+        files.delete_dir(name)
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """The name, with as many underscores before it as no column of the table has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def ranges(docs: DataFrame, text_col: str, bytes_each: int) -> int:
+    """How many parts to deal work into so that each stands for about so many bytes of text, 8 at least."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("bigint"))).first()[0] or 0
+    return max(8, -(-total // bytes_each))
 
 
 def id_remainder(id_col: str, n: int) -> Column:

@@ -3,7 +3,9 @@
 A document's set holds the 64-bit codes of its distinct word n-grams. All codes stand in one global
 order: light codes by value, then the heavy ones (found in many documents) by how many. The order
 is cut into fragments; a set is the union of its parts in the fragments. Partial overlaps of a pair
-are counted fragment by fragment and summed, so no set is shipped or compared as one piece.
+are counted fragment by fragment and summed, so no set is shipped or compared as one piece. Before
+that a sketch (how many codes of a set lie in each range of value) bounds the overlap of a pair, and
+pairs that the bound rules out are dropped.
 
 Candidates: two sets as similar as asked share a code among the first n - ceil(t * n) + 1 of each
 in the global order (a bucket). Equal sets form one class and are compared once. Within a bucket
@@ -19,49 +21,43 @@ whatever a bucket's size, and a group of copies costs one comparison each.
 Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. With fewer
 words than n the whole sequence is the one n-gram. Null texts, empty texts and texts without words
 have an empty set and are linked with nothing. Repeated rows are rows of one class; equal ids count
-as separate rows. A null id is never the smallest of a component that has another. An empty table
+as separate rows. Very long texts are hashed in pieces and their codes compared by fragment. A null id is never the smallest of a component that has another. An empty table
 gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored, text_key
-from .tokens import small_batches
+from .common import documents, free_name, released, stored, text_key
+from .words import by_bytes, gram_sets
 
 FRAGMENTS = 8  # of light codes; the heavy ones are one more
 #: A task reports a code as heavy that it finds this often among so many codes; the table keeps the heaviest.
-HEAVY_LOCAL, HEAVY_CODES, HEAVY_TABLE = 3, 4_000_000, 1 << 18
+HEAVY_LOCAL, HEAVY_CODES, HEAVY_TABLE = 3, 2_000_000, 1 << 16
 #: So many classes of a bucket are compared with its other components in the first round; GROWTH times as many in each further one.
 LEADERS, GROWTH = 64, 8
 #: In so many first rounds a class is compared in its largest bucket only.
 ONCE = 1
 #: Bits of the map that tells wanted texts from most others.
 SIEVE_BITS = 1 << 24
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-
+#: A sketch counts a set's codes by range of value: about so many codes a range, between so many ranges.
+SKETCH_CODES, SKETCH_RANGES = 4, (16, 1024)
+#: A side with at most so many rows (of 50 bytes or so) is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 500_000
 
-def codes(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct codes of the text's word n-grams."""
-    from xxhash import xxh3_64_intdigest
 
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    n = min(width, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):
-        h += w[k : len(w) - n + 1 + k] * _MULTIPLIERS[k]
-        h ^= h >> np.uint64(31)
-    h *= _MULTIPLIERS[0]
-    return np.unique(h ^ (h >> np.uint64(32)))
+def counted(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of (codes, counts) by code; only the heaviest `most`."""
+    values, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([n for _, n in parts]), len(values)).astype(np.int64)
+    if len(values) > most:
+        top = np.argpartition(-n, most)[:most]
+        values, n = values[top], n[top]
+    return values, n
 
 
 def heavy_codes(docs: DataFrame, width: int) -> list[tuple[int, int]]:
@@ -69,29 +65,24 @@ def heavy_codes(docs: DataFrame, width: int) -> list[tuple[int, int]]:
     any table gives the same links."""
 
     def run(batches):
-        total: Counter = Counter()
-        held: list[np.ndarray] = []
+        total, held, size = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
 
         def count():
+            nonlocal total
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= HEAVY_LOCAL
-            total.update(dict(zip(values[often].view(np.int64).tolist(), n[often].tolist(), strict=True)))
             held.clear()
-
-        size = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(codes(text, width))
-                size += len(held[-1])
-                if size > HEAVY_CODES:
-                    count()
-                    size = 0
-                    if len(total) > 4 * HEAVY_TABLE:
-                        total = Counter(dict(total.most_common(HEAVY_TABLE)))
+            total = counted([total, (values[n >= HEAVY_LOCAL], n[n >= HEAVY_LOCAL])], 4 * HEAVY_TABLE)
+
+        for batch in by_bytes(batches, 0):
+            held.append(gram_sets(batch.column(0), width)[0])
+            size += len(held[-1])
+            if size > HEAVY_CODES:
+                count()
+                size = 0
         if held:
             count()
-        top = total.most_common(HEAVY_TABLE)
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.int64()), pa.array([n for _, n in top], pa.int64())], ["code", "n"])
+        values, n = counted([total], HEAVY_TABLE)
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["code", "n"])
 
     rows = docs.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     return [(r.code, r.n) for r in rows.orderBy(F.desc("n"), "code").limit(HEAVY_TABLE).collect()]
@@ -104,32 +95,58 @@ class Order:
         code = np.array([c for c, _ in heavy], np.int64).view(np.uint64)
         by = np.argsort(code)
         self.codes, self.rank = code[by], (len(code) - np.arange(len(code)))[by]
+        self.maybe = None
 
     def ranks(self, x: np.ndarray) -> np.ndarray:
         """0 for light codes."""
+        out = np.zeros(len(x), np.int64)
         if not len(self.codes):
-            return np.zeros(len(x), np.int64)
-        k = np.searchsorted(self.codes, x)
+            return out
+        if self.maybe is None:  # few light codes share their first bits with a heavy one
+            self.maybe = np.zeros(1 << 20, bool)
+            self.maybe[(self.codes >> np.uint64(44)).astype(np.int64)] = True
+        at = np.flatnonzero(self.maybe[(x >> np.uint64(44)).astype(np.int64)])
+        k = np.searchsorted(self.codes, x[at])
         k[k == len(self.codes)] = 0
-        return np.where(self.codes[k] == x, self.rank[k], 0)
+        out[at] = np.where(self.codes[k] == x[at], self.rank[k], 0)
+        return out
 
-    def first(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The first n of the sorted codes x in the global order."""
-        rank = self.ranks(x)
+    @staticmethod
+    def first(x: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
+        """The first n of the sorted codes x, of these ranks, in the global order."""
         light = x[rank == 0]
         return light[:n] if len(light) >= n else np.concatenate([light, x[rank > 0][np.argsort(rank[rank > 0], kind="stable")][: n - len(light)]])
 
-    def fragments(self, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    @staticmethod
+    def fragments(x: np.ndarray, rank: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(fragment, codes): the parts of the sorted codes x; light codes by range of value, then the heavy ones."""
-        rank = self.ranks(x)
         light = x[rank == 0]
         part = (light >> np.uint64(61)).astype(np.int64)
         out = [(k, light[part == k]) for k in range(FRAGMENTS)] + [(FRAGMENTS, x[rank > 0])]
         return [(k, c) for k, c in out if len(c)]
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """How many of the codes lie in each of a power of two of ranges; 255 stands for that many or more."""
+    least, most = SKETCH_RANGES
+    bits = int(min(max(len(x) // SKETCH_CODES, least), most) - 1).bit_length()
+    return np.minimum(np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """No two sets with these sketches share more codes: the smaller counts, range by range, summed."""
+    x, y = (np.where(v == 255, 1 << 40, v.astype(np.int64)) for v in (np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)))
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)).sum())
+
+
+def _lists(parts: list[np.ndarray], kind=np.int64) -> pa.Array:
+    cuts = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(parts).view(kind) if parts else np.zeros(0, kind)))
+
+
 def sets(docs: DataFrame, order: Order, width: int, percent: int) -> DataFrame:
-    """id, text_key, n, class (16 bytes that stand for the set), first (codes): one row per document."""
+    """id, text_key, n, class (16 bytes that stand for the set), sketch, first (codes): one row per document."""
     from xxhash import xxh3_128_digest
 
     shared = docs.sparkSession.sparkContext.broadcast((order.codes, order.rank))  # HEAVY_TABLE codes at most
@@ -137,21 +154,27 @@ def sets(docs: DataFrame, order: Order, width: int, percent: int) -> DataFrame:
     def run(batches):
         of = Order([])
         of.codes, of.rank = shared.value
-        for batch in small_batches(batches):
-            n, digest, first = [], [], []
-            for text in batch.column(2).to_pylist():
-                x = codes(text, width)
-                n.append(len(x))
-                digest.append(xxh3_128_digest(x.tobytes()))
-                first.append(of.first(x, len(x) - -(-percent * len(x) // 100) + 1).view(np.int64) if len(x) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["id", "text_key", "n", "class", "first"])
+        for batch in by_bytes(batches, 2):
+            x, at = gram_sets(batch.column(2), width)
+            rank, cuts = of.ranks(x), at.tolist()
+            n = np.diff(at)
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            first = [of.first(x[a:b], rank[a:b], b - a - -(-percent * (b - a) // 100) + 1) if b > a else x[:0] for a, b in spans]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([xxh3_128_digest(x[a:b].tobytes()) for a, b in spans], pa.binary()), pa.array([sketch(x[a:b]) for a, b in spans], pa.binary()), _lists(first)],
+                ["id", "text_key", "n", "class", "sketch", "first"],
+            )
+
+    return docs.select("id", "text_key", "text").mapInArrow(run, "id bigint, text_key binary, n bigint, class binary, sketch binary, first array<bigint>")
 
-    return docs.select("id", "text_key", "text").mapInArrow(run, "id bigint, text_key binary, n bigint, class binary, first array<bigint>")
 
+def small(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it has few rows; otherwise its joins shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-def fragments(source: DataFrame, heads: DataFrame, order: Order, width: int, only: int | None = None) -> DataFrame:
-    """c, fragment, codes of the classes in heads (c, id, text_key), from their texts in the source;
-    all fragments, or one.
+
+def fragments(source: DataFrame, heads: DataFrame, order: Order, width: int) -> DataFrame:
+    """c, fragment, codes of the classes in heads (c, id, text_key), from their texts in the source; rows may repeat.
     A bit map of SIEVE_BITS, whatever the input's size, tells most other texts apart where they are
     read, so that no text is dealt out; the join by id and key is exact."""
     heads = stored(heads, "wanted")
@@ -166,35 +189,54 @@ def fragments(source: DataFrame, heads: DataFrame, order: Order, width: int, onl
     def run(batches):
         of = Order([])
         of.codes, of.rank, bits = shared.value
-        for batch in small_batches(batches, 500):
-            k = batch.column(3).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(bits[k >> 3] >> (k & 7).astype(np.uint8) & 1 == 1))
-            rows = [(i, key, k, x.view(np.int64)) for i, key, text in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True) for k, x in of.fragments(codes(text, width)) if only in (None, k)]
+
+        def wanted():
+            for batch in batches:
+                k = batch.column(3).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(bits[k >> 3] >> (k & 7).astype(np.uint8) & 1 == 1))
+
+        for batch in by_bytes(wanted(), 2):
+            x, cuts = gram_sets(batch.column(2), width)
+            rank = of.ranks(x)
+            rows, fragment, codes = [], [], []
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                for f, c in of.fragments(x[a:b], rank[a:b]):
+                    rows.append(k)
+                    fragment.append(f)
+                    codes.append(c)
             if rows:
-                i, key, k, x = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(key, pa.binary()), pa.array(k, pa.int32()), pa.array(x, pa.list_(pa.int64()))], ["_id", "_key", "fragment", "codes"])
+                rows = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(fragment, pa.int32()), _lists(codes)], ["_id", "_key", "fragment", "codes"])
 
     found = source.withColumn("place", place).select("id", "text_key", "text", at.cast("bigint").alias("at")).mapInArrow(run, "_id bigint, _key binary, fragment int, codes array<bigint>")
-    exact = found.join(heads, (found["_key"] == heads["text_key"]) & found["_id"].eqNullSafe(heads["id"]))
-    return stored(exact.groupBy("c", "fragment").agg(F.first("codes").alias("codes")), "fragments")  # rows may repeat
+    few = small(heads)
+    out = stored(found.join(few, (found["_key"] == few["text_key"]) & found["_id"].eqNullSafe(few["id"])).select("c", "fragment", "codes"), "fragments")
+    released(heads)
+    return out
 
 
-def hopeful(pairs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, na, b, nb) that may be similar by what they share in one fragment, if all else
-    of the smaller set were shared. It drops no similar pair."""
-    left = pairs.join(part.select(F.col("c").alias("a"), F.col("codes").alias("ca")), "a", "left")
-    both = left.join(part.select(F.col("c").alias("b"), F.col("codes").alias("cb")), "b", "left")
-    size_a, size_b = (F.when(F.col(x).isNull(), 0).otherwise(F.size(x)) for x in ("ca", "cb"))
-    shared = F.when(F.col("ca").isNull() | F.col("cb").isNull(), 0).otherwise(F.size(F.array_intersect("ca", "cb")))
-    most = shared + F.least(F.col("na") - size_a, F.col("nb") - size_b)
-    return both.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "na", "b", "nb")
+def hopeful(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, na, b, nb) that may be similar by their sketches. It drops no similar pair."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy() for k in (1, 3))
+            most = np.array([most_shared(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            yield batch.select(["a", "na", "b", "nb"]).filter(pa.array(np.minimum(most, np.minimum(na, nb)) * (100 + percent) >= (na + nb) * percent))
+
+    left = small(pairs).join(rows.select(F.col("row").alias("a"), F.col("sketch").alias("sa")), "a")
+    both = left.join(rows.select(F.col("row").alias("b"), F.col("sketch").alias("sb")), "b")
+    return both.select("a", "na", "b", "nb", "sa", "sb").mapInArrow(run, "a bigint, na bigint, b bigint, nb bigint")
 
 
 def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs (a, na, b, nb) that are similar. Partial overlaps are counted by fragment and summed."""
-    left = pairs.join(parts.select(F.col("c").alias("a"), "fragment", F.col("codes").alias("ca")), "a")
-    both = left.join(parts.select(F.col("c").alias("b"), "fragment", F.col("codes").alias("cb")), ["b", "fragment"])
-    overlap = both.select("a", "na", "b", "nb", F.size(F.array_intersect("ca", "cb")).cast("bigint").alias("part"))
+    """a, b: the pairs (a, na, b, nb) that are similar. Partial overlaps are counted by fragment and summed.
+    Each fragment of a b travels once for each a that it is compared with; an a's fragments travel once."""
+    theirs = parts.select(F.col("c").alias("b"), "fragment", F.col("codes").alias("cb")).join(small(pairs), "b")
+    leaders = stored(pairs.select("a").distinct(), "leaders")
+    ours = parts.select(F.col("c").alias("a"), "fragment", F.col("codes").alias("ca")).join(small(leaders), "a", "left_semi")
+    both = theirs.join(ours.hint("merge"), ["a", "fragment"])
+    overlap = both.select("a", "na", "b", "nb", "fragment", F.size(F.array_intersect("ca", "cb")).cast("bigint").alias("part")).distinct()  # fragments may repeat
     total = overlap.groupBy("a", "na", "b", "nb").agg(F.sum("part").alias("both"))
     return total.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -211,6 +253,7 @@ def components(links: DataFrame) -> DataFrame:
         after = stored(spread.join(jump, "label").select("c", "was", F.least("label", "over").alias("label")), "labels")
         labels = after.select("c", "label")
         if not after.where("label < was").limit(1).count():
+            released(edges)
             return labels
 
 
@@ -222,18 +265,25 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
     order = Order(heavy_codes(source, width))
     rows = stored(sets(source, order, width, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = stored(rows.where("n > 0").groupBy("class").agg(F.min("row").alias("c")), "classes")
-    members = stored(rows.select("id", "text_key", "n", "row", "class").join(classes, "class", "left").drop("class"), "members")
+    members = stored(rows.where("n > 0").select("id", "text_key", "n", "row", "class").join(classes, "class").drop("class"), "members")
     ids = classes.select("c")
-    firsts = rows.join(ids, rows["row"] == ids["c"]).select("c", "n", F.posexplode("first").alias("place", "code"))
-    shared = stored(firsts.groupBy("code").agg(F.count("*").alias("size"), F.min(F.struct("place", "c", "n")).alias("lead")).where("size > 1"), "codes")
-    buckets = stored(firsts.join(shared, "code").select("code", "c", "n", (F.col("n") - F.col("place")).alias("rest"), "size", F.col("lead.c").alias("leader"), F.col("lead.n").alias("leader_n"), (F.col("lead.n") - F.col("lead.place")).alias("leader_rest")), "buckets")
+    firsts = rows.join(ids, rows["row"] == ids["c"]).select("c", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("place", "code"))
+    shared = stored(firsts.groupBy("code").agg(F.count("*").alias("size")).where("size > 1"), "codes")
+    entries = stored(firsts.join(shared.hint("merge"), "code"), "entries")
+    lead = entries.groupBy("code").agg(F.min(F.struct("place", "c", "n")).alias("lead"))
+    buckets = entries.join(lead, "code").select("code", "c", F.col("n").cast("bigint").alias("n"), (F.col("n") - F.col("place")).alias("rest"), "size", F.col("lead.c").alias("leader"), F.col("lead.n").cast("bigint").alias("leader_n"), (F.col("lead.n") - F.col("lead.place")).alias("leader_rest"))
+    buckets = stored(buckets, "buckets")
+    released(shared, entries)
     heads = members.where("row = c").select("c", "id", "text_key")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar: first by one fragment, then what is left by all."""
+        """The pairs that are similar: first by their sketches, then what is left by all fragments."""
         pairs = stored(pairs.distinct(), "pairs")
-        pairs = stored(hopeful(pairs, fragments(source, ends(pairs), order, width, 0), percent), "hopeful")
-        return stored(linked(pairs, fragments(source, ends(pairs), order, width), percent), "links")
+        hope = stored(hopeful(pairs, rows, percent), "hopeful")
+        parts = fragments(source, ends(hope), order, width)
+        links = stored(linked(hope, parts, percent), "links")
+        released(pairs, hope, parts)
+        return links
 
     def ends(pairs: DataFrame) -> DataFrame:
         return heads.join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c")
@@ -272,23 +322,29 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
         once -= 1
         active, leaders = named.where(~F.col("leads")).select("code", "c", "n", "rest"), GROWTH * leaders
 
-    final = members.join(labels, "c", "left").select("id", "text_key", "n", "row", F.coalesce("label", "c", "row").alias("label"))
-    final = stored(final, "labelled")
+    final = members.join(labels, "c", "left").select("id", "text_key", "n", "row", F.coalesce("label", "c").alias("label"))
+    final = stored(final.unionByName(rows.where("n = 0").select("id", "text_key", "n", "row", F.col("row").alias("label"))), "labelled")
+    released(rows, buckets, members, classes)
     heads = stored(final.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("head")).select("label", F.col("head.id").alias("component_id"), F.col("head.row").alias("component_row")), "heads")
     return final.join(heads, "label").select("id", "text_key", "n", "row", "component_row", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns, that stand for their component. Rows that repeat an id and text stay once; all rows without words stay."""
+    """The rows, all columns, that stand for their component. Of rows that repeat an id and text the one
+    stays whose columns hash lowest; all rows without words stay."""
     grouped = stored(join(docs, width, percent, id_col, text_col), "grouped")
-    heads = grouped.where("row = component_row or n = 0").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), (F.col("n") > 0).alias("_words"))
+    heads = grouped.where("row = component_row or n = 0").select(F.col("id").alias(free_name("_id", docs)), F.col("text_key").alias(free_name("_key", docs)), (F.col("n") > 0).alias(free_name("_words", docs)))
     heads = stored(heads.distinct(), "kept")
+    its_id, its_key, words = (heads[c] for c in heads.columns)
     key = text_key(F.coalesce(docs[text_col], F.lit("")))
-    same = (key == heads["_key"]) & docs[id_col].cast("bigint").eqNullSafe(heads["_id"])
+    same = (key == its_key) & docs[id_col].cast("bigint").eqNullSafe(its_id)
     if not grouped.where("n > 0").groupBy("id", "text_key").count().where("count > 1").limit(1).count():
         return docs.join(heads, same, "left_semi")
-    with_words = docs.join(heads, same & heads["_words"], "left_semi").dropDuplicates([id_col, text_col])
-    return with_words.union(docs.join(heads, same & ~heads["_words"], "left_semi"))
+    place = free_name("_place", docs)
+    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()]
+    by = Window.partitionBy(docs[id_col], docs[text_col]).orderBy(F.xxhash64(*[docs[c] for c in hashed]))
+    with_words = docs.join(heads, same & words, "left_semi").withColumn(place, F.row_number().over(by)).where(F.col(place) == 1).drop(place)
+    return with_words.union(docs.join(heads, same & ~words, "left_semi"))
 
 
 def op9_vertical_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
