@@ -8,8 +8,8 @@ counts that predict it. Counts and events cover all training documents.
 Documents are tokenised once into chunk files in the shared folder. Tokens and pairs of tokens
 travel as sorted blocks of hashes, one block for each chunk and hash range, to the task that adds up
 the range; the sums travel back to the chunk in the same order. So a frequent token is one entry for
-each chunk, and no task holds more than a range or a chunk. Tokens are told apart by 64-bit hashes,
-pairs by 48-bit ones.
+each chunk, and no task holds more than a range or a chunk; the number of ranges grows with the bytes
+of text. Tokens and pairs are told apart by 64-bit hashes. Very long texts are one document of a chunk.
 
 Null and empty texts hold the end token alone. The context of a document's first token is the end
 token. A null id counts as the empty text for the split into training and held-out rows. Repeated
@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_remainder, scratch_fs, shared_dir, stored
-from .tokens import small_batches
+from .common import documents, id_remainder, ranges, scratch_fs, shared_dir, stored
+from .words import by_bytes, word_codes
 
-CHUNK_BYTES = 8_000_000
+#: Bytes of text of a chunk, and of text for which there is one hash range and one task.
+CHUNK_BYTES, RANGE_BYTES = 8_000_000, 32_000_000
+SLICE_BYTES = 1_000_000
 END = 0x9D8A7C6B5E4F3021  # stands for the end token; not the hash of a word in any likelihood
 BUCKETS, STEPS = 24, 8  # context buckets by powers of two; histogram steps for a power of two
 FLOOR = 1e-4  # of the uniform part's weight
@@ -40,14 +42,10 @@ BLOCK = "path string, shard int, codes binary, counts binary"
 SUMS = "path string, shard int, sums binary, n_distinct bigint, n_total bigint"
 
 
-def token_codes(text: str | None) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
-
-    words = text.encode().lower().split() if text else []
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+def token_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all words and, after each text's, the end token; number of tokens of each text)"""
+    codes, n = word_codes(texts)
+    return np.insert(codes, np.cumsum(n), np.uint64(END)), n + 1
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
@@ -84,18 +82,18 @@ def get(uri: str) -> bytes:
         return f.read()
 
 
-def blocks(path: str, codes: np.ndarray, counts: np.ndarray, shards: int, bits: int) -> pa.RecordBatch:
+def blocks(path: str, codes: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
     """The sorted codes, cut into one block for each range of hashes."""
-    shard = ((codes >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    shard = ((codes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     cuts = np.searchsorted(shard, np.arange(shards + 1))
-    rows = [(path, k, squeezed(codes[a:b] if bits > 48 else (codes[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4"), *(() if bits > 48 else ((codes[a:b] >> np.uint64(32)).astype("<u2"),))), squeezed(counts[a:b].astype("<u4"))) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["path", "shard", "codes", "counts"])
+    rows = [(path, k, squeezed(codes[a:b]), squeezed(counts[a:b].astype("<u4"))) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+    cols = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["path", "shard", "codes", "counts"])
 
 
 def add_up(table: pa.Table) -> pa.Table:
     """One range of hashes: for each chunk's block the sums over all chunks, in the block's order."""
-    parts = [spread(x) for x in table["codes"].to_pylist()]
-    codes = [p[0] if len(p) == 1 else p[0].astype(np.uint64) | p[1].astype(np.uint64) << np.uint64(32) for p in parts]
+    codes = [spread(x)[0] for x in table["codes"].to_pylist()]
     counts = [spread(x)[0].astype(np.int64) for x in table["counts"].to_pylist()]
     values, at = np.unique(np.concatenate(codes), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts), len(values)).astype(np.int64)
@@ -131,7 +129,8 @@ class Chunk:
         h = self.codes[before] * np.uint64(0x9E3779B97F4A7C15) + self.codes[self.at] * np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        values, at = np.unique(h >> np.uint64(16), return_inverse=True)
+        h ^= h >> np.uint64(32)
+        values, at = np.unique(h, return_inverse=True)
         return values, at, before
 
 
@@ -170,7 +169,7 @@ def learn_weights(hist: list[tuple[int, int, int, int]], v: int) -> np.ndarray:
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score: learned from the rows that aren't held out."""
     spark = docs.sparkSession
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = ranges(docs, text_col, RANGE_BYTES)
     root = shared_dir(spark, "lm-chunks")
 
     def tokenise(batches):
@@ -178,27 +177,26 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
         def flush():
             path = f"{root}/{uuid.uuid4().hex}"
-            tokens = np.concatenate([t for *_, t in hold])
-            lens = np.array([len(t) for *_, t in hold], "<u4")
-            train = np.array([not h for _, h, _ in hold], "u1")
+            ids, null, train, lens, tokens = (np.concatenate(x) for x in zip(*hold, strict=True))
             codes, at = np.unique(tokens, return_inverse=True)
-            put(path, squeezed(np.array([i or 0 for i, *_ in hold], "<i8"), np.array([i is None for i, *_ in hold], "u1").view("|u1").astype("<u2"), train.astype("<u2"), lens, at.astype("<u4"), codes))
-            counts = np.bincount(at[np.repeat(train.astype(bool), lens)], minlength=len(codes))
+            put(path, squeezed(ids.astype("<i8"), null.astype("<u2"), train.astype("<u2"), lens.astype("<u4"), at.astype("<u4"), codes))
+            counts = np.bincount(at[np.repeat(train, lens)], minlength=len(codes))
             hold.clear()
-            return blocks(path, codes, counts, shards, 64)
-
-        for batch in small_batches(batches):
-            for doc, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hold.append((doc, held, token_codes(text)))
-                size += len(text or "") + 8
-                if size >= chunk_bytes:
-                    yield flush()
-                    size = 0
+            return blocks(path, codes, counts, shards)
+
+        for batch in by_bytes(batches, 2, min(SLICE_BYTES, chunk_bytes)):
+            tokens, lens = token_codes(batch.column(2))
+            ids = batch.column(0)
+            hold.append((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), ~batch.column(1).to_numpy(zero_copy_only=False), lens, tokens))
+            size += batch.column(2).nbytes
+            if size >= chunk_bytes:
+                yield flush()
+                size = 0
         if hold:
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    single = stored(rows.mapInArrow(tokenise, BLOCK).groupBy("shard").applyInArrow(add_up, SUMS), "lm-single")
+    single = stored(rows.mapInArrow(tokenise, BLOCK).repartition(shards, "shard").groupBy("shard").applyInArrow(add_up, SUMS), "lm-single")
     n, v = single.agg(F.coalesce(F.sum("n_total"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
 
     def pair_blocks(table: pa.Table) -> pa.Table:
@@ -207,9 +205,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         put(path + ".single", squeezed(sums_of(table)))
         values, at, _ = chunk.pairs()
         counts = np.bincount(at[np.repeat(chunk.train.astype(bool), chunk.lens)], minlength=len(values))
-        return pa.Table.from_batches([blocks(path, values, counts, shards, 48)])
+        return pa.Table.from_batches([blocks(path, values, counts, shards)])
 
-    pairs = stored(single.select("path", "shard", "sums").groupBy("path").applyInArrow(pair_blocks, BLOCK).groupBy("shard").applyInArrow(add_up, SUMS).drop("n_distinct", "n_total"), "lm-pairs")
+    pairs = stored(single.select("path", "shard", "sums").repartition(shards, "path").groupBy("path").applyInArrow(pair_blocks, BLOCK).repartition(shards, "shard").groupBy("shard").applyInArrow(add_up, SUMS).drop("n_distinct", "n_total"), "lm-pairs")
 
     def counted(table: pa.Table) -> tuple:
         """(chunk, count of each token, of its context, of its pair)"""
@@ -227,7 +225,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         keys, m = np.unique(key, return_counts=True)
         return pa.table([pa.array(keys, pa.int64()), pa.array(m, pa.int64())], ["key", "n"])
 
-    hist = pairs.groupBy("path").applyInArrow(events, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()  # bounded by buckets and steps
+    by_chunk = pairs.repartition(shards, "path").groupBy("path")
+    hist = by_chunk.applyInArrow(events, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()  # bounded by buckets and steps
     weights = learn_weights([(r.key >> 40, r.key >> 20 & 0xFFFFF, r.key & 0xFFFFF, r.n) for r in hist], v)
 
     def scores(table: pa.Table) -> pa.Table:
@@ -242,7 +241,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return pairs.groupBy("path").applyInArrow(scores, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return by_chunk.applyInArrow(scores, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

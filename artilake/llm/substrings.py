@@ -6,13 +6,19 @@ have equal minimisers, so strings are sharded by theirs, and neighbouring string
 travel as one slice. Slices are first counted by hash: a minimiser found once cannot repeat, and a
 slice found twice repeats as a whole. Only where one minimiser has several different slices are
 their bytes sent to its shard, once for each different slice, and there the suffix array and the
-common prefixes of the shard's slices tell which strings repeat (suffixes.py). A minimiser with more
-than HOT different slices would make a shard large: its strings are counted by their own hashes,
-spread over all tasks, which is exact too.
+common prefixes of the shard's slices tell which strings repeat (suffixes.py), with queues on disk.
+A minimiser with more than HOT different slices would make one shard as large as the corpus: its
+strings are counted by their own hashes, spread over all tasks. Wherever a hash alone decides that
+bytes go, two independent 64-bit hashes have to agree.
+
+Beside that each document's passages are compared with other documents' at a smaller size: of any
+240 bytes one 160-byte part is picked by its hash, and parts that stand in two documents or more are
+counted (n_shared of n_parts). Nothing is removed for them.
 
 Matches never cross documents; overlaps count; strings are judged on the input. Null and empty texts
-have no bytes. Repeated rows are copies of each other. Equal ids are different documents. An empty
-table gives an empty result. Other columns of the input are ignored.
+have no bytes. Very long texts are hashed in segments and are one document of a chunk. Repeated rows
+are copies of each other. Equal ids are different documents. An empty table gives an empty result.
+Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,46 +30,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, stored
+from .common import documents, ranges, shared_dir, stored
 from .lm import add_up, blocks, get, put, spread, squeezed
 from .suffixes import suffix_array
 from .tokens import small_batches
-
-LENGTH, PART = 400, 160
-CHUNK_BYTES, SEGMENT = 4_000_000, 1_500_000
-SHARD_BYTES, HOT = 2_000_000, 64
-_B = 0x9E3779B97F4A7C15
-_INVERSE = pow(_B, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+from .words import mixed, powers
+
+LENGTH, PART, NEAR = 400, 160, 240
+CHUNK_BYTES, SEGMENT = 4_000_000, 400_000
+#: Bytes of a shard's runs, tuples of a run that wait in memory (the others on disk), slices of a minimiser.
+SHARD_BYTES, MEMORY, HOT = 2_000_000, 1 << 18, 64
+#: Bytes of text for which there is one range of minimisers and one task.
+RANGE_BYTES = 32_000_000
+#: Bases of two independent hashes.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 ROWS = "path string, kind int, shard int, place bigint, a binary, b binary"
 NAMES = ["path", "kind", "shard", "place", "a", "b"]
 _TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier's powers and their inverses, modulo 2**64."""
-    if not _powers or len(_powers["up"]) <= n:
-        size = max(n + 1, SEGMENT + 1)
-        for name, base in (("up", _B), ("down", _INVERSE)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
 class Hashes:
     """Hashes of all parts of some bytes."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data))
+    def __init__(self, data: np.ndarray, base: int = BASES[0]):
+        up, self.down = powers(len(data), base)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
 
@@ -75,28 +65,39 @@ class Hashes:
         return mixed((self.sums[start + length] - self.sums[start]) * self.down[start] + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def slices(data: np.ndarray, lens: np.ndarray, length: int = LENGTH, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, hash, start, number of strings) of each slice; the documents stand one after another."""
-    out = []
+def minima(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours."""
+    n = len(x) - width + 1
+    padded = np.full(-(-len(x) // width) * width, ~np.uint64(0), np.uint64)
+    padded[: len(x)] = x
+    rows = padded.reshape(-1, width)
+    left = np.minimum.accumulate(rows, axis=1).ravel()
+    right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
+
+
+def slices(data: np.ndarray, lens: np.ndarray, length: int = LENGTH, part: int = PART, near: int = NEAR) -> tuple[tuple, tuple]:
+    """((minimiser, hash, start, number of strings) of each slice, (hash, start) of each picked part);
+    the documents stand one after another."""
+    out, parts = [], []
     ends = np.cumsum(lens, dtype=np.int64)
     end_of = np.repeat(ends, lens)
-    width = length - part + 1
-    for low in range(0, max(1, len(data) - length + 1), SEGMENT - length):
+    mask = np.uint64((1 << 23) - 1)
+    for low in range(0, max(1, len(data) - near + 1), SEGMENT - length):
         here = data[low : low + SEGMENT]
-        if len(here) < length:
+        if len(here) < near:
             break
         h = Hashes(here)
         g = h.all(part)
-        n = len(here) - length + 1
-        mask = np.uint64((1 << 23) - 1)
         key = (g & ~mask) | np.arange(len(g), dtype=np.uint64)
-        full = -(-len(key) // width) * width
-        padded = np.full(full, ~np.uint64(0), np.uint64)
-        padded[: len(key)] = key
-        rows = padded.reshape(-1, width)
-        left = np.minimum.accumulate(rows, axis=1).ravel()
-        right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(right[:n], left[width - 1 : width - 1 + n])
+        least = minima(key, near - part + 1)
+        at = (least[low + np.arange(len(least)) + near <= end_of[low : low + len(least)]] & mask).astype(np.int64)
+        at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at  # one part is picked again and again
+        parts.append((g[at], low + at))
+        if len(here) < length:
+            continue
+        n = len(here) - length + 1
+        least = minima(key, length - part + 1)
         start = low + np.arange(n)
         fits = start + length <= end_of[low : low + n]
         new = np.empty(n, bool)
@@ -110,31 +111,42 @@ def slices(data: np.ndarray, lens: np.ndarray, length: int = LENGTH, part: int =
         first, count = first[inside], np.minimum(count[inside], own - first[inside])
         at = (least[first] & mask).astype(np.int64)
         out.append((g[at], h.of(first, count + length - 1), low + first, count))
-    if not out:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(none, *out, strict=True)), tuple(np.concatenate(x) for x in zip((none[0], none[2]), *parts, strict=True))
 
 
 class Entries:
-    """A chunk's documents and their slices; equal slices are one entry, entries are sorted by minimiser and hash."""
+    """A chunk's documents, their slices and their picked parts; equal slices are one entry, entries are sorted by minimiser and hashes."""
 
     def __init__(self, path: str):
-        self.ids, null, self.lens, self.data, self.key, self.hash, self.n, self.of, self.start, self.count = spread(get(path))
+        self.ids, null, self.lens, self.data, self.key, self.of, self.start, self.count, self.part_of, self.part_doc = spread(get(path))
         self.null = null.astype(bool)
 
     @staticmethod
-    def save(path: str, ids: list[int | None], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data, lens = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], "<u4")
-        key, h, start, count = slices(data, lens)
-        order = np.lexsort((h, key))
+    def save(path: str, ids: list[int | None], texts: list[bytes]) -> tuple[tuple, tuple]:
+        """((minimiser, both hashes, times) of each entry, (hash, documents) of each picked part); sorted"""
+        from xxhash import xxh3_64_intdigest
+
+        joined, lens = b"".join(texts), np.array([len(t) for t in texts], "<u4")
+        data = np.frombuffer(joined, np.uint8)
+        (key, h, start, count), (part, at) = slices(data, lens)
+        view = memoryview(joined)
+        other = np.fromiter((xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)), np.uint64, len(start))
+        order = np.lexsort((other, h, key))
         new = np.ones(len(order), bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1])
+        new[1:] = (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1]) | (other[order][1:] != other[order][:-1])
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
         some = order[new]
         n = np.bincount(of, minlength=len(some)).astype("<u4")
-        put(path, squeezed(np.array([i or 0 for i in ids], "<i8"), np.array([i is None for i in ids], "<u2"), lens, data, key[some], h[some], n, of.astype("<u4"), start.astype("<u4"), count.astype("<u2")))
-        return key[some], h[some], n
+        doc = np.searchsorted(np.cumsum(lens, dtype=np.int64), at, "right")
+        by = np.lexsort((doc, part))
+        once = np.ones(len(by), bool)  # of a document's equal parts one
+        once[1:] = (part[by][1:] != part[by][:-1]) | (doc[by][1:] != doc[by][:-1])
+        by = by[once]
+        parts, part_of, docs_n = np.unique(part[by], return_inverse=True, return_counts=True)
+        put(path, squeezed(np.array([i or 0 for i in ids], "<i8"), np.array([i is None for i in ids], "<u2"), lens, data, key[some], of.astype("<u4"), start.astype("<u4"), count.astype("<u2"), part_of.astype("<u4"), doc[by].astype("<u4")))
+        return (key[some], h[some], other[some], n), (parts, docs_n)
 
     def first(self) -> np.ndarray:
         """One slice of each entry."""
@@ -161,11 +173,11 @@ def judge(t: pa.Table) -> pa.Table:
     if not parts:
         return table([])
     size = [len(p[0]) for p in parts]
-    key, h, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.lexsort((np.arange(len(key)), h, key))
-    k, hh = key[order], h[order]
+    key, h, other, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    order = np.lexsort((np.arange(len(key)), other, h, key))
+    k, hh, oo = key[order], h[order], other[order]
     new_key = np.r_[True, k[1:] != k[:-1]]
-    new = np.r_[True, (k[1:] != k[:-1]) | (hh[1:] != hh[:-1])]
+    new = np.r_[True, (k[1:] != k[:-1]) | (hh[1:] != hh[:-1]) | (oo[1:] != oo[:-1])]
     entry, group = np.cumsum(new) - 1, np.cumsum(new_key) - 1
     total = np.bincount(entry, n[order])[entry]
     kinds = np.bincount(group, new)[group]
@@ -181,18 +193,19 @@ def verdicts(t: pa.Table) -> np.ndarray:
     return np.concatenate([spread(x)[0] for _, x in rows]) if rows else np.zeros(0, np.uint16)
 
 
-def hot_strings(e: Entries, verdict: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slice, offset, hash) of each string of the slices whose minimiser is hot."""
+def hot_strings(e: Entries, verdict: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(slice, offset, both hashes) of each string of the slices whose minimiser is hot."""
     own = np.flatnonzero(verdict[e.of] & HOT_KEY)
     count = e.count[own].astype(np.int64)
     at = np.repeat(own, count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     start = e.start[at].astype(np.int64) + offset
     low = (start // SEGMENT) * SEGMENT
-    out = np.empty(len(at), np.uint64)
+    out = [np.empty(len(at), np.uint64) for _ in BASES]
     for x in np.unique(low):
         m = low == x
-        out[m] = Hashes(e.data[x : x + SEGMENT + LENGTH]).of(start[m] - x, np.full(m.sum(), LENGTH))
+        for h, base in zip(out, BASES, strict=True):
+            h[m] = Hashes(e.data[x : x + SEGMENT + LENGTH], base).of(start[m] - x, np.full(m.sum(), LENGTH))
     return at, offset, out
 
 
@@ -202,7 +215,7 @@ def repeated(slices_: list[bytes], folder: str | None = None) -> list[np.ndarray
     lens = np.array([len(x) for x in slices_], np.int64)
     ends = np.cumsum(lens + 1) - 1
     text[ends] = 0
-    order, common = suffix_array(text, 257, LENGTH, folder=folder)
+    order, common = suffix_array(text, 257, LENGTH, MEMORY, folder)
     left = np.repeat(ends, lens + 1) - np.arange(len(text))
     twice = np.zeros(len(order), bool)
     twice[1:] = common[1:] >= LENGTH
@@ -214,20 +227,25 @@ def repeated(slices_: list[bytes], folder: str | None = None) -> list[np.ndarray
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept (bytes): one row per document."""
+    """id, n_bytes, n_removed, n_spans, n_parts, n_shared, kept (bytes): one row per document."""
     spark = docs.sparkSession
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = ranges(docs, text_col, RANGE_BYTES)
     root = shared_dir(spark, "substrings")
 
+    def counted_by_hash(path: str, kind: int, values: np.ndarray, n: np.ndarray) -> list[tuple]:
+        b = blocks(path, values, n, shards)
+        return [(path, kind, s, 0, c, m) for s, c, m in zip(b["shard"].to_pylist(), b["codes"].to_pylist(), b["counts"].to_pylist(), strict=True)]
+
     def cut(batches):
         ids, texts, size = [], [], 0
 
         def flush():
             path = f"{root}/{uuid.uuid4().hex}"
-            key, h, n = Entries.save(path, ids, texts)
+            (key, h, other, n), parts = Entries.save(path, ids, texts)
             shard = shard_of(key, shards)
             cuts = np.searchsorted(shard, np.arange(shards + 1))
-            rows = [(path, 0, k, 0, squeezed(key[a:b], h[a:b], n[a:b]), None) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            rows = [(path, 0, k, 0, squeezed(key[a:b], h[a:b], other[a:b], n[a:b]), None) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            rows += counted_by_hash(path, 5, *parts)
             rows.append((path, 1, -1, 0, None, None))  # so that a chunk without slices is met again
             ids.clear(), texts.clear()
             return table(rows).to_batches()
@@ -245,7 +263,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     found = stored(rows.mapInArrow(cut, ROWS), "slices")
-    judged = stored(found.where("kind = 0").groupBy("shard").applyInArrow(judge, ROWS), "verdicts")
+    judged = stored(found.where("kind = 0").repartition(shards, "shard").groupBy("shard").applyInArrow(judge, ROWS), "verdicts")
 
     def send(t: pa.Table) -> pa.Table:
         path = t["path"][0].as_py()
@@ -257,13 +275,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             body = e.data[e.start[s] : e.start[s] + e.count[s] + LENGTH - 1].tobytes()
             out.append((path, 0, int(e.key[x] >> np.uint64(33)), x if not verdict[x] & REPEATS else -1, body, int(e.key[x]).to_bytes(8, "little")))
         at, _, h = hot_strings(e, verdict)
-        if len(at):
-            values, n = np.unique(h, return_counts=True)
-            b = blocks(path, values, n, shards, 64)
-            out += [(path, 1, s, 0, c, m) for s, c, m in zip(b["shard"].to_pylist(), b["codes"].to_pylist(), b["counts"].to_pylist(), strict=True)]
+        for kind, x in enumerate(h if len(at) else [], 3):
+            out += counted_by_hash(path, kind, *np.unique(x, return_counts=True))
         return table(out)
 
-    sent = stored(judged.groupBy("path").applyInArrow(send, ROWS), "sent")
+    sent = stored(judged.repartition(shards, "path").groupBy("path").applyInArrow(send, ROWS), "sent")
     volume = sent.where("kind = 0").agg(F.sum(F.length("a"))).first()[0] or 0
     parts = max(1, -(-volume // SHARD_BYTES))
 
@@ -288,10 +304,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             flush()
         return table(out)
 
-    sorted_ = sent.where("kind = 0").withColumn("shard", (F.col("shard") % parts).cast("int")).groupBy("shard").applyInArrow(sort, ROWS)
-    counts = sent.where("kind = 1").select("path", "shard", F.col("a").alias("codes"), F.col("b").alias("counts")).groupBy("shard").applyInArrow(add_up, "path string, shard int, sums binary, n_distinct bigint, n_total bigint")
-    counted = counts.select("path", F.lit(3).alias("kind"), "shard", F.lit(0).cast("bigint").alias("place"), F.col("sums").alias("a"), F.lit(None).cast("binary").alias("b"))
-    everything = judged.unionByName(found.where("kind = 1")).unionByName(stored(sorted_, "repeats")).unionByName(stored(counted, "hot-counts"))
+    sorted_ = sent.where("kind = 0").withColumn("shard", (F.col("shard") % parts).cast("int")).repartition(parts, "shard").groupBy("shard").applyInArrow(sort, ROWS)
+
+    def summed(t: pa.Table) -> pa.Table:
+        """One range of one kind of hash: the sums over all chunks, for each chunk's block."""
+        sums = add_up(t.select(["path", "shard", "a", "b"]).rename_columns(["path", "shard", "codes", "counts"]))
+        return table(list(zip(t["path"].to_pylist(), t["kind"].to_pylist(), t["shard"].to_pylist(), [0] * len(t), sums["sums"].to_pylist(), [None] * len(t), strict=True)))
+
+    counts = sent.where("kind in (3, 4)").unionByName(found.where("kind = 5"))
+    counted = counts.repartition(shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(summed, ROWS)
+    everything = judged.unionByName(found.where("kind = 1")).unionByName(stored(sorted_, "repeats")).unionByName(stored(counted, "hash-counts"))
 
     def finish(t: pa.Table) -> pa.Table:
         path, kind = t["path"][0].as_py(), t["kind"].to_numpy()
@@ -312,22 +334,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cover(int(e.start[first[x]]) + spread(offsets)[0].astype(np.int64), 1)
             at, offset, h = hot_strings(e, verdict)
             if len(at):
-                values, k = np.unique(h, return_inverse=True)
-                twice = verdicts(t.filter(pa.array(kind == 3)))[k] > 1
+                twice = np.ones(len(at), bool)  # by both hashes
+                for which, x in enumerate(h, 3):
+                    twice &= verdicts(t.filter(pa.array(kind == which)))[np.unique(x, return_inverse=True)[1]] > 1
                 cover(e.start[at[twice]].astype(np.int64) + offset[twice], 1)
         gone = np.cumsum(edge[:n]) > 0
+        elsewhere = (verdicts(t.filter(pa.array(kind == 5)))[e.part_of] > 1) if len(e.part_of) else np.zeros(0, bool)
+        n_parts, n_shared = (np.bincount(e.part_doc[m], minlength=len(e.lens)).tolist() for m in (np.ones(len(elsewhere), bool), elsewhere))
         rows, begin = [], 0
-        for doc, null, size in zip(e.ids.tolist(), e.null.tolist(), e.lens.tolist(), strict=True):
+        for doc, null, size, p, q in zip(e.ids.tolist(), e.null.tolist(), e.lens.tolist(), n_parts, n_shared, strict=True):
             g, d = gone[begin : begin + size], e.data[begin : begin + size]
             removed = int(g.sum())
             spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()) if removed else 0
-            rows.append((None if null else doc, size, removed, spans, d[~g].tobytes() if removed else d.tobytes()))
+            rows.append((None if null else doc, size, removed, spans, p, q, d[~g].tobytes() if removed else d.tobytes()))
             begin += size
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "n_parts", "n_shared", "kept"])
 
-    return everything.groupBy("path").applyInArrow(finish, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return everything.repartition(shards, "path").groupBy("path").applyInArrow(finish, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, n_parts bigint, n_shared bigint, kept binary")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, then n_parts, n_shared, and score: the larger of the shares of bytes removed and of parts shared."""
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    score = F.greatest(share("n_removed", "n_bytes"), share("n_shared", "n_parts"))
+    return remove_repeats(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_parts", "n_shared", score.alias("score"))

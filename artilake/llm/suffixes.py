@@ -1,7 +1,7 @@
 """Suffix and common-prefix arrays by external induced sorting.
 
 The order of the leftmost S-type suffixes is found by recursion on the string of their names (or,
-where that string fits the memory given, by doubling). It then induces the order of the L-type
+that string has at most DOUBLED names, by doubling). It then induces the order of the L-type
 suffixes, and that the order of the S-type ones. The suffixes that wait in a character's bucket
 stand in a monotone priority queue: they arrive in their final order, as tuples of a position and
 the length of the prefix shared with the tuple before, and leave in that order. A queue keeps a
@@ -21,6 +21,8 @@ import numpy as np
 from .common import scratch_fs
 
 FAR = np.int32(1 << 30)
+#: A block with fewer tuples is not worth a file; strings of at most so many names are ordered by doubling.
+LEAST_FILE, DOUBLED = 1 << 12, 1 << 20
 
 
 class Queue:
@@ -51,7 +53,7 @@ class Store:
         self.memory, self.folder, self.held, self.files = memory, folder, 0, 0
 
     def keep(self, pos: np.ndarray, lcp: np.ndarray):
-        if self.folder is None or self.held + len(pos) <= self.memory:
+        if self.folder is None or self.held + len(pos) <= self.memory or len(pos) < LEAST_FILE:
             self.held += len(pos)
             return pos, lcp
         uri = f"{self.folder}/{uuid.uuid4().hex}.run"
@@ -263,7 +265,7 @@ def suffix_array(s: np.ndarray, k: int, cap: int, memory: int = 1 << 22, folder:
     kinds = int(names.max()) + 1
     if kinds == len(lms):
         seeds = rough
-    elif len(lms) <= memory:
+    elif len(lms) <= DOUBLED:
         seeds = lms[doubled(names, cap)]
     else:
         deeper, _ = suffix_array(names, kinds, cap, memory, folder, False, store)
