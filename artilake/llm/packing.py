@@ -6,7 +6,7 @@ sequence of its own, whose length is a power of two: nothing is padded and no se
 of two documents. Sequences are numbered bucket by bucket, longest first.
 
 Null and empty texts hold the end id alone. Repeated rows and repeated ids are packed once for
-each row. An empty table gives an empty result. Other columns of the input are ignored.
+each row; a very long text's pieces of 4096 come first. An empty table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import documents, stored
 from .tokens import encoder, small_batches, tokenizer_path
 
+#: So many (task, length) counts are broadcast, so that no ids are shuffled; beyond it the pieces are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 PIECES = "id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, part int, k bigint"
 _PIECES = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("k", pa.int64())])
 
@@ -65,7 +67,9 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, longest: int
     for length in sorted(totals, reverse=True):
         first = F.when(F.col("length") == length, F.lit(longer).cast("bigint")).otherwise(first)
         longer += totals[length]
-    before = tasks.select("length", "part", (first + F.coalesce(F.sum("n").over(by_task), F.lit(0))).alias("before"))
+    before = stored(tasks.select("length", "part", (first + F.coalesce(F.sum("n").over(by_task), F.lit(0))).alias("before")), "before")
+    if before.count() <= BROADCAST_ROWS:
+        before = F.broadcast(before)
     return cut.join(before, ["length", "part"]).select("id", "start", "length", "doc_tokens", "ids", (F.col("before") + F.col("k")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
 
 
