@@ -1,17 +1,20 @@
 """Token ids in files of a static range asymmetric numeral system (rANS).
 
 Documents are written in ascending order of their id, part by part. One frequency table, counted
-over all ids, is shared by all files. A file is a run of blocks that decode independently; a block
-holds whole documents. Inside a block, ids are dealt over interleaved lanes, each a rANS coder of
-its own (64-bit state, 32-bit words), and the lanes' states are kept at checkpoints, so that a
-block can also be decoded from its middle. Payload and decoded ids carry a CRC-32 each.
+over all ids, is shared by all files and stands beside them (table.bin), with the list of their blocks
+(blocks, a Parquet table), so that the folder alone can be read in any session. A file is a run of
+blocks that decode independently; a block holds whole documents. Inside a block, ids are dealt over
+interleaved lanes, each a rANS coder of its own (64-bit state, 32-bit words), and the lanes' states
+are kept at checkpoints, from which all stretches of a block are decoded side by side. Payload and
+decoded ids carry a CRC-32 each, and so does the table.
 
 Block layout, little-endian: magic, counts (7 x u32), CRC of counts and payload, ids CRC (u32 each); document
 ids (i64), null marks (u8), document lengths (u32); for each checkpoint the word offset (u32) and
 the lanes' states (u64); words (u32).
 
-Null and empty texts hold the end id alone. Null ids come first; rows with equal ids stand in the
-order of their token ids. Repeated rows are written once for each row. An empty table gives an
+Null and empty texts hold the end id alone; a very long text is a block of its own. Null ids come
+first; rows with equal ids stand in the order of a hash of their token ids, and may be dealt over
+several parts. Repeated rows are written once for each row. An empty table gives an
 empty result. Other columns of the input are ignored.
 """
 
@@ -27,13 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, scratch_fs, shared_dir, stored
+from .common import documents, ranges, released, scratch_fs, shared_dir, stored
 from .tokens import encoder, small_batches, tokenizer_path
 
 MAGIC = b"RANSIDS1"
 HEAD = struct.Struct("<8s7I2I")
+TABLE_MAGIC, TABLE_HEAD = b"RANSTAB1", struct.Struct("<8s3I")
 SCALE = 20
 LOW = np.uint64(1 << 32)
+#: Bytes of text for which there is one file and one task, beyond the session's shuffle partitions.
+RANGE_BYTES = 64_000_000
 WORD_BITS = np.uint64(32)
 
 
@@ -62,7 +68,7 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 
 class Table:
     def __init__(self, freq: np.ndarray):
-        self.freq = freq.astype(np.uint64)
+        self.freq, self.cuts = freq.astype(np.uint64), np.concatenate([[0], np.cumsum(freq)])
         self.first = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
         self.most = self.freq << np.uint64(64 - SCALE)  # a state from here on gives off a word first
         self.of_slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
@@ -88,24 +94,52 @@ class Table:
         stream = np.concatenate(chunks[::-1]) if chunks else np.zeros(0, np.uint32)
         return [(words - w, s) for w, s in reversed(marks)], stream
 
-    def decode(self, n: int, lanes: int, at: int, state: np.ndarray, words: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
-        """The ids of steps first to last from a checkpoint at `first`."""
-        out = np.empty(n, np.uint32)
-        slots, scale, state = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), state.copy()
-        steps = -(-n // lanes)
-        for step in range(first, steps if last is None else min(last, steps)):
-            now = out[step * lanes : (step + 1) * lanes]
-            x = state[: len(now)]
-            slot = x & slots
+    def decode(self, n: int, lanes: int, every: int, at: np.ndarray, state: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """All n ids: from the checkpoints (word offsets `at`, a row of states each) all stretches of
+        `every` steps side by side."""
+        marks = len(at)
+        out = np.zeros((marks, every, lanes), np.uint32)
+        slots, scale, state, at = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), state.copy(), at.astype(np.int64)
+        words = np.append(words, np.zeros(1, words.dtype))
+        left = n - (np.arange(marks) * every)[:, None] * lanes - np.arange(lanes)  # ids that a lane still has, counted in ids of its stretch
+        for step in range(every):
+            live = left > step * lanes
+            if not live.any():
+                break
+            slot = state & slots
             sym = self.of_slot[slot]
-            now[:] = sym
-            x = self.freq[sym] * (x >> scale) + slot - self.first[sym]
-            low = np.flatnonzero(x < LOW)
-            if len(low):
-                x[low] = (x[low] << WORD_BITS) | words[at : at + len(low)].astype(np.uint64)
-                at += len(low)
-            state[: len(now)] = x
-        return out[first * lanes : None if last is None else last * lanes]
+            out[:, step] = sym
+            x = self.freq[sym] * (state >> scale) + slot - self.first[sym]
+            low = (x < LOW) & live
+            place = at[:, None] + np.cumsum(low, axis=1) - 1  # a stretch's lanes take its words in order
+            x = np.where(low, (x << WORD_BITS) | words[np.minimum(place, len(words) - 1)].astype(np.uint64), x)
+            state = np.where(live, x, state)
+            at += low.sum(axis=1)
+        return out.reshape(-1)[:n]
+
+    def save(self, uri: str) -> None:
+        raw = np.diff(self.cuts).astype("<u4").tobytes()
+        data = zlib.compress(raw, 6)
+        files, name = scratch_fs(uri)
+        files.create_dir(name.rpartition("/")[0], recursive=True)
+        with files.open_output_stream(name) as f:
+            f.write(TABLE_HEAD.pack(TABLE_MAGIC, SCALE, len(raw) // 4, zlib.crc32(raw)) + data)
+
+    @staticmethod
+    def load(uri: str) -> "Table":
+        files, name = scratch_fs(uri)
+        with files.open_input_file(name) as f:
+            data = f.read()
+        if len(data) < TABLE_HEAD.size:
+            raise Corrupt("not a table")
+        magic, scale, n, crc = TABLE_HEAD.unpack_from(data)
+        try:
+            raw = zlib.decompress(data[TABLE_HEAD.size :])
+        except zlib.error as e:
+            raise Corrupt("the table is damaged") from e
+        if magic != TABLE_MAGIC or scale != SCALE or len(raw) != 4 * n or zlib.crc32(raw) != crc:
+            raise Corrupt("the table's checksum or scale differs")
+        return Table(np.frombuffer(raw, "<u4").astype(np.int64))
 
 
 def write_block(table: Table, docs: list[int | None], lens: list[int], ids: np.ndarray, lanes: int, every: int) -> bytes:
@@ -134,12 +168,8 @@ def read_block(table: Table, block: bytes) -> tuple[list[int | None], np.ndarray
     docs, nulls, lens = np.frombuffer(body, "<i8", n_docs), np.frombuffer(body, "u1", n_docs, 8 * n_docs), np.frombuffer(body, "<u4", n_docs, 9 * n_docs)
     at, width = 13 * n_docs, 4 + 8 * lanes
     words = np.frombuffer(body, "<u4", n_words, at + n_marks * width)
-    parts = []
-    for k in range(n_marks):
-        (offset,) = struct.unpack_from("<I", body, at + k * width)
-        state = np.frombuffer(body, "<u8", lanes, at + k * width + 4).astype(np.uint64)
-        parts.append(table.decode(n, lanes, offset, state, words, k * every, (k + 1) * every))
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    marks = np.frombuffer(body, np.dtype([("at", "<u4"), ("state", "<u8", (lanes,))]), n_marks, at)
+    ids = table.decode(n, lanes, every, marks["at"], marks["state"].astype(np.uint64), words) if n_marks else np.zeros(0, np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
         raise Corrupt("the ids' checksum differs")
     return [None if z else d for d, z in zip(docs.tolist(), nulls.tolist(), strict=True)], lens, ids
@@ -191,15 +221,16 @@ BLOCKS = "part int, path string, at bigint, size bigint, n_docs bigint, n_tokens
 _BLOCKS = pa.schema([("part", pa.int32()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64())])
 
 
-def write_files(docs: DataFrame, path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 18, lanes: int = 1024, every: int = 128, parts: int | None = None) -> tuple[DataFrame, np.ndarray]:
-    """Writes the files; the list of their blocks (part, path, at, size, n_docs, n_tokens, before:
-    ids of the part's earlier blocks) and the frequency table."""
+def write_files(docs: DataFrame, path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 18, lanes: int = 1024, every: int = 64, parts: int | None = None) -> str:
+    """Writes the files; the folder. Its table `blocks` lists (part, path, at, size, n_docs, n_tokens,
+    before: ids of the part's earlier blocks)."""
     spark = docs.sparkSession
     path = path or tokenizer_path()
-    tokens = stored(tokenized(docs, path, end_id, id_col, text_col), "tokens")
+    tokens = stored(tokenized(docs, path, end_id, id_col, text_col).withColumn("hash", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id()), "tokens")
     size = max(encoder(path).tokenizer.get_vocab_size(), end_id + 1)
     freq = frequencies(count_ids(tokens, size))
     root, table_of = shared_dir(spark, "token-files"), {}
+    Table(freq).save(f"{root}/table.bin")
     shared = spark.sparkContext.broadcast(freq)  # as large as the vocabulary
 
     def run(batches):
@@ -235,24 +266,25 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 1, id_co
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
 
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, "id").sortWithinPartitions("id", "ids")
-    return stored(ordered.mapInArrow(run, BLOCKS), "token-blocks"), freq
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges(docs, text_col, RANGE_BYTES))
+    ordered = tokens.repartitionByRange(parts, "id", "hash", "row").sortWithinPartitions("id", "hash", "row")
+    ordered.select("id", "ids").mapInArrow(run, BLOCKS).write.parquet(f"{root}/blocks")
+    released(tokens)
+    return root
 
 
-def read_files(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
-    """id, start, ids: one row per document, from the files. start counts the ids before it."""
-    spark = blocks.sparkSession
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """id, start, ids: one row per document, from the folder's files. start counts the ids before it."""
+    blocks = spark.read.schema(BLOCKS).parquet(f"{root}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row per part
     begin, firsts = 0, []
     for r in totals:
         firsts.append((r.part, begin))
         begin += r.n
     starts = spark.createDataFrame(firsts, "part int, first bigint")
-    shared, table_of = spark.sparkContext.broadcast(freq), {}
 
     def run(batches):
-        table = table_of.setdefault("table", Table(shared.value))
+        table = Table.load(f"{root}/table.bin")
         for batch in batches:
             for r in batch.to_pylist():
                 files, name = scratch_fs(r["path"])
@@ -269,5 +301,4 @@ def read_files(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
 
 
 def op6_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, freq = write_files(documents(spark, sf_dir))
-    return read_files(blocks, freq).select(F.col("id").alias("doc_id"), "start", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return read_files(spark, write_files(documents(spark, sf_dir))).select(F.col("id").alias("doc_id"), "start", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
