@@ -10,8 +10,9 @@ half, so that every such set of diagonals lies whole in one band; bands below th
 dropped, and the others are verified by a banded semi-global alignment.
 
 The items are sent to the executors in blocks of bounded size (BLOCK_CHARS): a stated query set
-against all rows. Items with less than MIN_CHARS normalised characters are compared by equality of
-their words in sequence. Null and empty texts and items match nothing. Repeated rows and repeated
+against all rows. Items too short to be allowed an edit are compared by equality of
+their words in sequence. Very long texts are searched whole, in overlapping halves where they share
+very many q-grams with the items. Null and empty texts and items match nothing. Repeated rows and repeated
 items match each. An empty table on either side gives an empty result. Other columns of the inputs
 are ignored.
 """
@@ -30,8 +31,6 @@ from .common import documents
 from .tokens import small_batches
 
 Q, BUDGET = 12, 0.07
-#: Items shorter than this are matched exactly.
-MIN_CHARS = 40
 BLOCK_CHARS = 4_000_000
 #: Texts that share more q-grams with the items of one q are searched in overlapping halves.
 MOST_HITS = 8_000_000
@@ -60,30 +59,36 @@ def grams(x: np.ndarray, q: int = Q) -> np.ndarray:
     return h
 
 
-def edits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best match of the whole item inside text; None beyond `most`.
-
-    A row by item character and a column by text position, vectorised over the columns: the
-    running minimum resolves the insertions of a row."""
-    n = len(text)
-    steps = np.arange(n + 1)
-    cost, begin = np.zeros(n + 1, np.int64), steps.copy()
-    for i, c in enumerate(item, 1):
-        across = cost[:-1] + (text != c)
-        down = cost[1:] + 1
+def edits(item: np.ndarray, text: np.ndarray, most: int, low: int = 0, high: int | None = None) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best match of the whole item inside text that begins at low to high;
+    None beyond `most`.
+
+    A row by item character; a column by diagonal (place in the text less place in the item), and only
+    the diagonals that `most` edits can reach from where the match may begin. Columns are handled at
+    once: the running minimum resolves the insertions of a row."""
+    n, high = len(text), len(text) if high is None else min(high, len(text))
+    diagonal = np.arange(low - most, high + most + 1)
+    far, steps = len(item) + most + 1, np.arange(len(diagonal))
+    cost = np.where((diagonal >= max(low, 0)) & (diagonal <= high), 0, far)
+    begin = diagonal.copy()
+    padded = np.concatenate([np.full(most + len(item) + max(0, -low) + 1, -1), text.astype(np.int64), np.full(most + len(item) + 1, -1)])
+    shift = most + len(item) + max(0, -low) + 1
+    for i, c in enumerate(item):
+        at = diagonal + i  # the text's character that this diagonal sets against the item's
+        inside = (at >= 0) & (at < n)
+        across = np.where(inside, cost + (padded[at[0] + shift : at[-1] + shift + 1] != c), far)
+        down = np.append(cost[1:], far) + 1  # the item's character has no counterpart
         best = np.minimum(across, down)
-        came = np.where(across <= down, begin[:-1], begin[1:])
-        row, src = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64)
-        row[0], src[0] = i, 0
-        row[1:], src[1:] = best, came
-        key = (row - steps) * (n + 2) + steps  # cost of coming from each column on the left, nearest last
-        low = np.minimum.accumulate(key)
-        at = low % (n + 2)
-        cost, begin = row[at] + steps - at, src[at]
+        came = np.where(across <= down, begin, np.append(begin[1:], 0))
+        best = np.where((at + 1 >= 0) & (at < n), np.minimum(best, far), far)
+        key = (best - steps) * (len(steps) + 1) + steps  # cost of coming from each column on the left, nearest last
+        left = np.minimum.accumulate(key) % (len(steps) + 1)
+        cost, begin = best[left] + steps - left, came[left]
         if cost.min() > most:
             return None
-    end = int(cost.argmin())
-    return (int(cost[end]), int(begin[end]), end) if cost[end] <= most else None
+    ends = np.where(diagonal + len(item) <= n, cost, far)
+    k = int(ends.argmin())
+    return (int(ends[k]), int(begin[k]), int(diagonal[k]) + len(item)) if ends[k] <= most else None
 
 
 class Grams:
@@ -140,7 +145,7 @@ class Grams:
             at = text.find(plain, low, high)
             if at >= 0:  # aligned without an edit
                 yield item, at, at + len(plain), 0
-            elif found := edits(y, codes(text[low:high]), e):
+            elif found := edits(y, codes(text[low:high]), e, int(b[s]) * (e + 1) - e - low, (int(b[s]) + 2) * (e + 1) + e - low):
                 yield item, low + found[1], low + found[2], found[0]
 
 
@@ -155,7 +160,7 @@ class Index:
             plain = normal(text)
             if not plain:
                 continue
-            if len(plain) < MIN_CHARS:
+            if int(budget * len(plain)) == 0:
                 self.short.append((item, f" {plain} "))
                 continue
             x = codes(plain)
