@@ -1,14 +1,14 @@
 """Media columns: payloads stored as images in archives, and a Spark data source that reads them.
 
 A payload is a byte string whose length is a positive multiple of 192. It is stored losslessly as
-an 8-bit grey PNG image 192 samples wide. Each writing task fills one archive in the shared folder:
-members one after another, then a directory of (key, offset, size, CRC-32), then a footer. The data
-source `media_archive` plans byte ranges over the archives' directories without listing members on
-the driver. A task reads the directory entries of its range and streams the members as Arrow
+an 8-bit grey PNG image 192 samples wide. A writing task fills archives in a directory of the shared
+folder, each closed at ARCHIVE_BYTES: members one after another, then a directory of (key, offset, size, CRC-32), then a footer. The data
+source `media_archive` takes the path of the list of archives and plans byte ranges over them, at most
+MOST_RANGES partitions of several ranges where there are more, without listing members on the driver. A task reads the directory entries of its range and streams the members as Arrow
 batches; a member that can't be read is tried again by itself, at its own offset, and one that
 stays unreadable becomes a row with an error, so that the others are kept.
 
-Null and empty texts give a payload of 192 spaces. Repeated rows are stored once for each row and
+Null and empty texts give a payload of 192 spaces; a very long text is one member. Repeated rows are stored once for each row and
 come back as often. Equal texts give equal values. An empty table gives an empty result. Other
 columns of the input are ignored.
 """
@@ -31,6 +31,8 @@ from .common import documents, scratch_fs, shared_dir, stored
 from .tokens import small_batches
 
 WIDTH = 192
+#: Bytes after which an archive is closed, of a range, and partitions of a read.
+ARCHIVE_BYTES, RANGE_BYTES, MOST_RANGES = 64 << 20, 8 << 20, 100_000
 #: Fixed values of the PNG format.
 PNG, IEND = b"\x89PNG\r\n\x1a\n", b"\x00\x00\x00\x00IEND\xaeB`\x82"
 ENTRY = np.dtype([("key", "<i8"), ("null", "<u4"), ("crc", "<u4"), ("at", "<u8"), ("size", "<u8")])
@@ -104,16 +106,26 @@ def ending(entries: list[tuple], at: int) -> bytes:
     return directory + FOOT.pack(MAGIC, at, len(entries), zlib.crc32(directory))
 
 
-def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes one archive per task; rows (path, members, directory_at, size)."""
+def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes the archives; rows (path, members, directory_at, size)."""
     root = shared_dir(docs.sparkSession, "media")
 
     def run(batches):
-        uri, out, at = f"{root}/{uuid.uuid4().hex}.arc", None, 0  # a repeated task writes a file of its own
-        entries = []
+        out, entries, at, uri = None, [], 0, ""
+
+        def closed():
+            nonlocal out, entries, at
+            tail = ending(entries, at)
+            out.write(tail)
+            out.close()
+            row = pa.RecordBatch.from_pylist([{"path": uri, "members": len(entries), "directory_at": at, "size": at + len(tail)}])
+            out, entries, at = None, [], 0
+            return row
+
         for batch in small_batches(batches, 500):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if out is None:
+                    uri = f"{root}/{uuid.uuid4().hex}.arc"  # a repeated task writes files of its own
                     files, name = scratch_fs(uri)
                     files.create_dir(name.rpartition("/")[0], recursive=True)
                     out = files.open_output_stream(name)
@@ -122,21 +134,20 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.write(member)
                 entries.append((key or 0, key is None, zlib.crc32(member), at, len(member)))
                 at += len(member)
+                if at >= archive_bytes:
+                    yield closed()
         if out is not None:
-            tail = ending(entries, at)
-            out.write(tail)
-            out.close()
-            yield pa.RecordBatch.from_pylist([{"path": uri, "members": len(entries), "directory_at": at, "size": at + len(tail)}])
+            yield closed()
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return stored(source.mapInArrow(run, "path string, members bigint, directory_at bigint, size bigint"), "media-archives")
 
 
-class Range(InputPartition):
-    """The members of one archive that begin in [first, last)."""
+class Ranges(InputPartition):
+    """(archive, first, last): the members of the archive that begin in [first, last); several of them."""
 
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 SCHEMA = "id bigint, n_bytes bigint, media binary, payload binary, path string, at bigint, error string"
@@ -144,35 +155,41 @@ SCHEMA = "id bigint, n_bytes bigint, media binary, payload binary, path string,
 
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = options["paths"].split("\n") if options.get("paths") else []
-        self.range_bytes = int(options.get("rangebytes", 8 << 20))
+        self.archives = options.get("archives")
+        self.range_bytes, self.most = int(options.get("rangebytes", RANGE_BYTES)), int(options.get("mostranges", MOST_RANGES))
         self.tries, self.batch_bytes = int(options.get("tries", 3)), int(options.get("batchbytes", 4 << 20))
 
     def partitions(self):
+        import pyarrow.dataset as ds
+
+        files, name = scratch_fs(self.archives)
+        listed = ds.dataset(name, filesystem=files, format="parquet", exclude_invalid_files=False, ignore_prefixes=["_", "."]).to_table(columns=["path", "directory_at"])  # one row per archive
         out = []
-        for entry in self.paths:
-            path, size = entry.split("|")
-            cuts = max(1, -(-int(size) // self.range_bytes))
-            out += [Range(path, int(size) * k // cuts, int(size) * (k + 1) // cuts) for k in range(cuts)]
-        return out or [Range("", 0, 0)]
+        for path, size in sorted(zip(listed["path"].to_pylist(), listed["directory_at"].to_pylist(), strict=True)):
+            cuts = max(1, -(-size // self.range_bytes))
+            out += [(path, size * k // cuts, size * (k + 1) // cuts) for k in range(cuts)]
+        each = max(1, -(-len(out) // self.most))
+        return [Ranges(out[k : k + each]) for k in range(0, len(out), each)] or [Ranges([])]
 
     def read(self, partition):
-        if not partition.path:
-            return
-        files, name = scratch_fs(partition.path)
+        for path, first, last in partition.ranges:
+            yield from self.read_range(path, first, last)
+
+    def read_range(self, path: str, first: int, last: int):
+        files, name = scratch_fs(path)
         with files.open_input_file(name) as f:
             total = f.size()
             f.seek(total - FOOT.size)
             magic, at, n, crc = FOOT.unpack(f.read(FOOT.size))
             f.seek(at)
-            directory = f.read(n * ENTRY.itemsize)
+            directory = f.read(n * ENTRY.itemsize)  # an archive is closed at a size, so its directory is small
             if magic != MAGIC or zlib.crc32(directory) != crc:
-                raise BadMember(f"{partition.path}: the directory's checksum differs")
+                raise BadMember(f"{path}: the directory's checksum differs")
             entries = np.frombuffer(directory, ENTRY)
-            entries = entries[(entries["at"] >= partition.first) & (entries["at"] < partition.last)]
+            entries = entries[(entries["at"] >= first) & (entries["at"] < last)]
             rows, held = [], 0
             for e in entries:
-                rows.append(self.member(files, name, f, partition.path, e))
+                rows.append(self.member(files, name, f, path, e))
                 held += len(rows[-1]["payload"] or b"") + int(e["size"])
                 if held >= self.batch_bytes:
                     yield self.batch(rows)
@@ -209,7 +226,7 @@ class MediaReader(DataSourceReader):
 
 
 class MediaArchives(DataSource):
-    """Options: paths (lines of path|size), rangeBytes, batchBytes, tries."""
+    """Options: archives (path of the list of archives), rangeBytes, mostRanges, batchBytes, tries."""
 
     @classmethod
     def name(cls) -> str:
@@ -222,31 +239,32 @@ class MediaArchives(DataSource):
         return MediaReader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_archives(archives: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
-    """id, n_bytes, media, payload, path, at, error: one row per member. The driver gets one row per archive."""
+def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """id, n_bytes, media, payload, path, at, error: one row per member of the archives that write_archives() lists."""
     spark = archives.sparkSession
     spark.dataSource.register(MediaArchives)
-    paths = "\n".join(f"{r.path}|{r.directory_at}" for r in archives.select("path", "directory_at").orderBy("path").collect())
-    return spark.read.format("media_archive").option("paths", paths).option("rangeBytes", range_bytes).load()
+    return spark.read.format("media_archive").option("archives", archives.stored_at).option("rangeBytes", range_bytes).load()
 
 
 def features(members: DataFrame) -> DataFrame:
-    """id, n_bytes, payload facts, media facts and the feature string, from the bytes read back."""
+    """id, n_bytes, payload facts, media facts, the feature string and the error, from the bytes read
+    back. A member that could not be read keeps its row: its facts are null, its error says why."""
 
     def run(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 if r["error"]:
-                    raise BadMember(f"{r['path']} at {r['at']}: {r['error']}")
+                    out.append((r["id"], *[None] * 7, f"{r['path']} at {r['at']}: {r['error']}"))
+                    continue
                 p, m = r["payload"], r["media"]
-                out.append((r["id"], r["n_bytes"], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)))
+                out.append((r["id"], r["n_bytes"], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(p), None))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return members.mapInArrow(run, "id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return members.mapInArrow(run, "id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, error string")
 
 
 def op2_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
