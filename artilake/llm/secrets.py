@@ -7,7 +7,7 @@ looks like a live credential. Base kinds (assign, access, hex) are always report
 says it is live-looking.
 
 Null and empty texts have no spans. A null repository or owner counts as one of its own. Repeated
-rows are reported each and count once by owner. An empty table gives an empty result. Other columns
+rows are reported each and count once by owner. A very long text's matches are one row's list. An empty table gives an empty result. Other columns
 of the input are ignored.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, free_name, stored
 
 #: The patterns of the base kinds, in the order of report.
 ASSIGN = "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -96,21 +96,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """The rows, all columns; each reported span that is live-looking, and each base span, is replaced by the mark."""
-    key = "_text_hash"
-    while key in docs.columns:
-        key = "_" + key
-    found = scan(docs, id_col, text_col, repo_col, owner_col).where(F.size("spans") > 0).select(F.col("id").alias("_found_id"), F.col("text_hash").alias("_found_hash"), F.col("spans").alias("_found_spans")).distinct()
+    key, its_id, its_hash, spans = (free_name(c, docs) for c in ("_text_hash", "_found_id", "_found_hash", "_found_spans"))
+    found = scan(docs, id_col, text_col, repo_col, owner_col).where(F.size("spans") > 0).select(F.col("id").alias(its_id), F.col("text_hash").alias(its_hash), F.col("spans").alias(spans)).distinct()
     found = stored(found, "secret-found")
     rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.join(found, (rows[key] == found["_found_hash"]) & rows[id_col].cast("bigint").eqNullSafe(found["_found_id"]), "left")
+    rows = rows.join(found, (rows[key] == found[its_hash]) & rows[id_col].cast("bigint").eqNullSafe(found[its_id]), "left")
 
     def cut(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
         gap = F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_found_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    return rows.withColumn(text_col, F.when(F.col("_found_spans").isNotNull(), done).otherwise(F.col(text_col))).select(*docs.columns)
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
+    return rows.withColumn(text_col, F.when(F.col(spans).isNotNull(), done).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

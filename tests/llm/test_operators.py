@@ -53,7 +53,7 @@ def corpus(spark):
     substrings.remove_repeats,
     lambda d: lm.score(d, id_remainder("doc_id", 7) == 2),
     secrets.scan,
-    lambda d: token_files.read_files(*token_files.write_files(d)),
+    lambda d: token_files.read_files(d.sparkSession, token_files.write_files(d)),
     lambda d: language.identify(d, id_remainder("doc_id", 5) != 0),
     ngram_join.join,
     lambda d: toxicity.score(d, toxicity.learn(d, d.select("doc_id", F.lit(1).alias("toxic")), F.lit(True))),
@@ -83,17 +83,25 @@ def test_encoder_equals_library():
 
 def test_token_files_round_trip(spark, corpus):
     enc = tokens.encoder(tokens.tokenizer_path())
-    rows = sorted(token_files.read_files(*token_files.write_files(corpus, block_tokens=2000, lanes=16, every=8, parts=3)).collect(), key=lambda r: r.id)
+    rows = sorted(token_files.read_files(spark, token_files.write_files(corpus, block_tokens=2000, lanes=16, every=8, parts=3)).collect(), key=lambda r: r.id)
     start = 0
     for r, d in zip(rows, corpus.orderBy("doc_id").collect(), strict=True):
         assert r.ids == enc.ids(d.text) + np.array([1], "<u4").tobytes() and r.start == start
         start += len(r.ids) // 4
 
 
-def test_block_checksums():
+def test_block_checksums(tmp_path):
     table = token_files.Table(token_files.frequencies(np.bincount([1, 2, 2, 9], minlength=12)))
     block = token_files.write_block(table, [7, None], [3, 1], np.array([1, 2, 2, 9], np.uint32), 4, 2)
     assert token_files.read_block(table, block)[0] == [7, None]
+    wide = np.arange(1000, dtype=np.uint32) % 12
+    for lanes, every in ((4, 2), (7, 3), (1, 1), (64, 100)):
+        table = token_files.Table(token_files.frequencies(np.bincount(wide)))
+        long = token_files.write_block(table, [1], [1000], wide, lanes, every)
+        assert token_files.read_block(table, long)[2].tolist() == wide.tolist()
+    table.save(f"{tmp_path}/table.bin")
+    assert token_files.Table.load(f"{tmp_path}/table.bin").freq.tolist() == table.freq.tolist()
+    table = token_files.Table(token_files.frequencies(np.bincount([1, 2, 2, 9], minlength=12)))
     for k in (20, len(block) - 1):
         with pytest.raises(token_files.Corrupt):
             token_files.read_block(table, block[:k] + bytes([block[k] ^ 1]) + block[k + 1 :])
@@ -113,6 +121,11 @@ def test_media_round_trip_and_bad_member(spark, corpus):
         f.write(b"\xff\xff\xff")
     broken = media.read_archives(archives).where("error is not null").count()
     assert broken == 1
+    facts = media.features(media.read_archives(archives)).collect()
+    assert len(facts) == corpus.count() and sum(r.error is not None for r in facts) == 1
+    assert all(r.payload_sha256 for r in facts if r.error is None)
+    small = media.write_archives(corpus, archive_bytes=3000)
+    assert small.count() > archives.count() and media.read_archives(small).where("error is null").count() == corpus.count()
 
 
 def test_repeated_substrings(spark, corpus):
@@ -134,13 +147,15 @@ def test_repeated_substrings(spark, corpus):
         assert got == want
 
 
-def test_suffix_arrays_from_disk(tmp_path):
+def test_suffix_arrays_from_disk(tmp_path, monkeypatch):
     r = random.Random(5)
     for n, k in [(1, 1), (40, 1), (60, 2), (80, 4), (80, 30)]:
         s = np.array([r.randrange(k) for _ in range(n)], np.int64)
         order = sorted(range(n), key=lambda i: s[i:].tolist())
         common = [0] + [next((m for m in range(n) if a + m >= n or b + m >= n or s[a + m] != s[b + m]), n) for a, b in zip(order, order[1:], strict=False)]
         for memory in (1 << 20, 4):
+            monkeypatch.setattr(suffixes, "LEAST_FILE", 1)
+            monkeypatch.setattr(suffixes, "DOUBLED", memory)
             got = suffixes.suffix_array(s, k, 1 << 20, memory, f"file://{tmp_path}")
             assert got[0].tolist() == order and got[1].tolist() == common
     assert not list(tmp_path.iterdir())
