@@ -8,10 +8,9 @@ documents (and any others). Repeated rows, null texts and null ids go through ev
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from artilake.llm import decontaminate, ngram_join, packing, secrets, toxicity
-from artilake.llm.common import stored, text_key
+from artilake.llm.common import stored
 
 WIDTH, PERCENT = 5, 80
 
