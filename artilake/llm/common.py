@@ -13,7 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch of texts that a Python worker gets at once, unless the session has a value of its own.
+BATCH_ROWS, SPARKS_OWN = 1000, 10_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches from Spark's own size to BATCH_ROWS, so that long texts do not add up in a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == SPARKS_OWN:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -31,6 +43,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a written table: cuts the lineage and is computed once."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -37,7 +37,7 @@ from .words import by_bytes, gram_sets
 
 FRAGMENTS = 8  # of light codes; the heavy ones are one more
 #: A task reports a code as heavy that it finds this often among so many codes; the table keeps the heaviest.
-HEAVY_LOCAL, HEAVY_CODES, HEAVY_TABLE = 3, 2_000_000, 1 << 16
+HEAVY_LOCAL, HEAVY_CODES, HEAVY_TABLE = 3, 1_000_000, 1 << 16
 #: So many classes of a bucket are compared with its other components in the first round; GROWTH times as many in each further one.
 LEADERS, GROWTH = 64, 8
 #: In so many first rounds a class is compared in its largest bucket only.

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: So many bytes of text are hashed at a time; a longer text or word is taken whole.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = 32
 #: Each byte as it counts: white space as one kind of space, A-Z lower-cased.
