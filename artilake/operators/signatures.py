@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import version_token
+
 #: name, supplier, patterns of (regular expression, weight, group of the version or 0).
 LICENSES = [
     ("apache", "Apache Software Foundation", [("Apache License, Version ([0-9.]*[0-9])", 0.9, 1), ("Licensed under the Apache License", 0.6, 0)]),
@@ -74,5 +74,24 @@ def merged(hits: DataFrame, group: str) -> DataFrame:
     return top.select(group, "name", F.col("top.confidence").alias("confidence"), F.col("top.version").alias("version"), (-F.col("top.order")).alias("id"), "payloads")
 
 
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+def match_strings(strings: DataFrame, pack=LICENSES) -> DataFrame:
+    """id, name, confidence, version, inferred, evidence: signatures matched over extracted strings (id, offset, text).
+
+    Of a pattern the first string by offset counts whose match has a version, else the first that matches;
+    evidence (offset, text) stands in the order of the patterns. Where no pattern has a version, a token of
+    the matched texts that looks like one is taken and marked as inferred. Each string is looked at once,
+    with one literal expression per pattern; only matches are shuffled, after a map-side minimum."""
+    hits = []
+    for name, _, patterns in pack:
+        for seq, (regex, weight, group) in enumerate(patterns):
+            version = F.nullif(F.regexp_extract("text", regex, group), F.lit("")) if group else F.lit(None).cast("string")
+            hits.append(F.when(F.col("text").rlike(regex), F.struct(F.lit(name).alias("name"), F.lit(seq).alias("seq"), F.lit(float(weight)).alias("weight"), version.alias("version"), F.regexp_extract("text", regex, 0).alias("evidence"))))
+    rows = strings.select("id", "offset", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("id", "offset", "h.*")
+    best = rows.groupBy("id", "name", "seq", "weight").agg(F.min(F.struct(F.col("version").isNull().alias("none"), "offset", "version", "evidence")).alias("b"))
+    one = F.struct("seq", "b.offset", "b.version", "b.evidence")
+    all_ = best.groupBy("id", "name").agg(F.max("weight").alias("w"), F.array_sort(F.collect_list(one)).alias("m"))  # one pattern a row
+    said = F.get(F.filter(F.transform("m", lambda x: x["version"]), lambda v: v.isNotNull()), F.lit(0))
+    kept = F.slice("m", 1, EVIDENCE)
+    token = F.get(F.filter(F.transform(kept, lambda x: version_token(x["evidence"])), lambda v: v.isNotNull()), F.lit(0))
+    evidence = F.array_join(F.transform(kept, lambda x: F.concat(x["offset"].cast("string"), F.lit(":"), x["evidence"])), " | ")
+    return all_.select("id", "name", F.round(F.least(F.lit(MOST), F.col("w") + STEP * (F.size("m") - 1)), 2).alias("confidence"), F.coalesce(said, token).alias("version"), (said.isNull() & token.isNotNull()).alias("inferred"), evidence.alias("evidence"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +14,7 @@ STATS = "id bigint, bank bigint, n_bytes bigint, entropy double, chi_square doub
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.int64()]
 #: Entropy below the first is plain text, below the second mixed.
 PLAIN, MIXED = 6.5, 7.5
+PRINTABLE = re.compile(rb"[\x20-\x7e]{6,}")
 
 
 def _facts(data: bytes) -> tuple:
@@ -22,8 +26,10 @@ def _facts(data: bytes) -> tuple:
     p = c[c > 0] / n
     cuts = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True])
     whole = n // 16 * 16
-    blocks = np.frombuffer(data, "V16", whole // 16) if whole else np.zeros(0, "V16")
-    return n, abs(float(-(p * np.log2(p)).sum())), float(256 * (c * c).sum() / n - n), int(np.diff(cuts).max()), float(c[32:127].sum() / n), len(blocks) - len(set(blocks.tolist()))
+    blocks = np.frombuffer(data, "<c16", whole // 16).view("<u8").reshape(-1, 2) if whole else np.zeros((0, 2), "<u8")
+    order = np.lexsort((blocks[:, 1], blocks[:, 0]))
+    repeated = int((blocks[order][1:] == blocks[order][:-1]).all(1).sum())  # equal blocks stand together
+    return n, abs(float(-(p * np.log2(p)).sum())), float(256 * (c * c).sum() / n - n), int(np.diff(cuts).max()), float(c[32:127].sum() / n), repeated
 
 
 def byte_stats(payloads: DataFrame, id_col: str, text_col: str, bank: int | None = None) -> DataFrame:
@@ -43,8 +49,43 @@ def byte_stats(payloads: DataFrame, id_col: str, text_col: str, bank: int | None
     return rows.mapInArrow(run, STATS)
 
 
-def opacity(entropy: Column) -> Column:
-    return F.when(entropy < PLAIN, "plaintext").when(entropy < MIXED, "mixed").otherwise("opaque")
+def opacity(entropy: Column, architecture: Column | None = None, compression: Column | None = None) -> Column:
+    """The verdict: machine code is plain text whatever its entropy; a compressed container is named."""
+    none = F.lit(None).cast("string")
+    architecture, compression = none if architecture is None else architecture, none if compression is None else compression
+    return (
+        F.when(architecture.isNotNull() | (entropy < PLAIN), "plaintext")
+        .when(entropy < MIXED, "mixed")
+        .when(compression.isNotNull(), F.concat(F.lit("compressed ("), compression, F.lit(")")))
+        .otherwise("opaque")
+    )
+
+
+BANKS = "id bigint, bank bigint, start bigint, end bigint, size bigint, entropy double, ff_percent double, zero_percent double, strings bigint, sha256 string"
+#: Fixed value: a payload has at most about so many banks; longer ones have larger banks.
+MOST_BANKS = 256
+
+
+def bank_table(payloads: DataFrame, id_col: str, text_col: str, bank: int = 1 << 16) -> DataFrame:
+    """One row per bank of each payload: entropy, fill, printable strings (they do not span banks) and SHA-256."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = data or b""
+                size = bank if len(data) <= bank * MOST_BANKS else 1 << max(16, (len(data) // MOST_BANKS).bit_length())
+                for k, at in enumerate(range(0, len(data), size)):
+                    part = data[at : at + size]
+                    share = np.bincount(np.frombuffer(part, np.uint8), minlength=256) / len(part)
+                    some = share[share > 0]
+                    rows.append((key, k, at, at + len(part) - 1, len(part), abs(float(-(some * np.log2(some)).sum())), 100 * float(share[255]), 100 * float(share[0]), len(PRINTABLE.findall(part)), hashlib.sha256(part).hexdigest()))
+            kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.int64(), pa.string()]
+            cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in BANKS.split(", ")])
+
+    rows = payloads.select(F.col(id_col).cast("bigint").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("data"))
+    return rows.mapInArrow(run, BANKS)
 
 
 def headline(stats: DataFrame, group: str) -> DataFrame:

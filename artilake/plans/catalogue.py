@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import documents, inventory, signatures, stats, strings
-from ..sources import control, images
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..operators import documents, inventory, magics, packs, signatures, stats, strings
+from ..sources import images
+from . import relations, values  # noqa: F401  (they register their queries)
+from .registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 BYTES = "b as (select doc_id, unnest(range(len(h))) o, unnest(h) x from (select doc_id, regexp_extract_all(hex(encode(text)), '..') h from documents))"
 HIST = f"{BYTES}, h as (select doc_id, x, count(*) n from b group by all), t as (select doc_id, sum(n) tot, sum(n*n)::double q from h group by all)"
@@ -51,7 +31,7 @@ def _hits_sql() -> str:
 HITS = _hits_sql()
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits(spark, sf_dir):
     return signatures.match(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
@@ -152,6 +132,61 @@ def bank_stats(spark, sf_dir):
     return doc_stats(spark, sf_dir, 1024).select("doc_id", "bank", "n_bytes", F.round("entropy", 4).alias("entropy"))
 
 
+BANK_ROWS = "h as (select doc_id, hex(encode(text)) h from documents), b as (select doc_id, unnest(range((strlen(h) // 2 + 1023) // 1024)) bank, h from h), p as (select doc_id, bank, substr(h, bank * 2048 + 1, 2048) x from b), s as (select *, regexp_replace(x, '(..)', '\\1 ', 'g') y, strlen(x) // 2 n from p)"
+
+
+@query(f"""with {BANK_ROWS} select doc_id, bank, bank * 1024 as start, bank * 1024 + n - 1 as "end", n size, round(100.0 * len(regexp_extract_all(y, 'FF ')) / n, 3) ff_percent, round(100.0 * len(regexp_extract_all(y, '00 ')) / n, 3) zero_percent, len(regexp_extract_all(y, '(?:(?:[2-6][0-9A-F]|7[0-9A-E]) ){{6,}}')) strings, sha256(unhex(x)) sha256 from s""")
+def bank_table(spark, sf_dir):
+    rows = stats.bank_table(table(spark, sf_dir, "documents"), "doc_id", "text", 1024).withColumnRenamed("id", "doc_id")
+    return rows.select("doc_id", "bank", "start", "end", "size", F.round("ff_percent", 3).alias("ff_percent"), F.round("zero_percent", 3).alias("zero_percent"), "strings", "sha256")
+
+
+@query("""select event_id, case when k = 0 then 'plaintext' when e < 6.5 then 'plaintext' when e < 7.5 then 'mixed' when k = 1 then 'compressed (gzip)' when k = 2 then 'compressed (zip)' else 'opaque' end verdict from (select event_id, event_id % 4 k, (event_id % 800) / 100.0 e from events)""")
+def opacity_rules(spark, sf_dir):
+    k = F.col("event_id") % 4
+    head = F.when(k == 1, F.lit(b"\x1f\x8b\x08")).when(k == 2, F.lit(b"PK\x03\x04")).otherwise(F.lit(b"none"))
+    rows = table(spark, sf_dir, "events")
+    return rows.select("event_id", stats.opacity((F.col("event_id") % 800) / 100, F.when(k == 0, "arm"), magics.compression(head)).alias("verdict"))
+
+
+#: name, supplier, patterns of addresses and version words, over the strings of documents.
+WORDS = [("address", "", [("[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", 0.5, 0), ("version ([0-9]+)", 0.6, 1)]), ("mail", "", [("[a-z]+@[a-z]+", 0.95, 0), ("[a-z]+@[a-z]+\\.org", 0.4, 0)])]
+
+
+def _string_hits_sql(pack) -> str:
+    one = []
+    for name, _, patterns in pack:
+        for seq, (regex, weight, group) in enumerate(patterns):
+            version = f"nullif(regexp_extract(text, '{regex}', {group}), '')" if group else "null::varchar"
+            one.append(f"select id, \"offset\" o, '{name}' as name, {seq} seq, {weight}::double w, {version} v, regexp_extract(text, '{regex}', 0) e from runs where regexp_matches(text, '{regex}')")
+    return f"""with runs as ({RUNS.format(key="doc_id", col="text", table="documents", least=6)}), m as ({" union all ".join(one)}), r as (select *, row_number() over (partition by id, name, seq order by v is null, o) k from m), b as (select *, regexp_extract(e, '\\bv?([0-9]+\\.[0-9]+(?:\\.[0-9]+)+(?:-[A-Za-z0-9]+)?)\\b', 1) t from r where k = 1),
+g as (select id, name, round(least(0.97::double, max(w) + 0.05::double * (count(*) - 1)), 2) confidence, arg_min(v, seq) filter (v is not null) v, arg_min(t, seq) filter (t <> '') t, string_agg(o || ':' || e, ' | ' order by seq) evidence from b group by id, name)
+select id, name, confidence, coalesce(v, t) as version, v is null and t is not null as inferred, evidence from g"""
+
+
+@query(_string_hits_sql(signatures.LICENSES))
+def sig_string_hits(spark, sf_dir):
+    return signatures.match_strings(strings.string_runs(table(spark, sf_dir, "documents"), "doc_id", "text", 6))
+
+
+@query(_string_hits_sql(WORDS))
+def sig_version_inferred(spark, sf_dir):
+    return signatures.match_strings(strings.string_runs(table(spark, sf_dir, "documents"), "doc_id", "text", 6), WORDS)
+
+
+@query("""select p_partkey, case p_partkey % 12 when 0 then 'no name' when 1 then 'no type' when 2 then 'unknown type' when 3 then 'purl with a version' when 4 then 'purl does not begin with pkg:' when 5 then 'no description' when 6 then 'empty version_note' when 7 then 'no patterns' when 8 then 'regex does not compile' when 9 then 'weight outside (0, 1]' when 10 then 'vgroup beyond the capture groups' end problem from part""")
+def pack_problems(spark, sf_dir):
+    """A signature made of each part, most of them breaking one rule."""
+    k = F.col("p_partkey") % 12
+    pattern = F.struct(F.when(k == 8, "a(").otherwise("a(b)(?:c)").alias("regex"), F.when(k == 9, F.col("p_size") + 1.0).otherwise(F.col("p_size") / 50).alias("weight"), F.when(k == 10, 2).otherwise(1).cast("bigint").alias("vgroup"))
+    good = F.array(F.struct(F.lit("x").alias("regex"), F.lit(1.0).alias("weight"), F.lit(None).cast("bigint").alias("vgroup")), pattern)
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(k != 0, F.col("p_name")).alias("name"), F.when(k == 1, " ").when(k == 2, "thing").otherwise("library").alias("type"), F.when(k == 3, "pkg:x/a@1").when(k == 4, "x/a").otherwise("pkg:x/a").alias("purl"),
+        F.when(k != 5, "text").alias("description"), F.when(k == 6, " ").alias("version_note"), F.when(k == 7, F.slice(good, 1, 0)).otherwise(good).alias("patterns"),
+    )
+    return packs.checked(rows, "p_partkey").select("p_partkey", "problem")
+
+
 @query(f"with {ENTROPY}, r as (select source, doc_id id, entropy, count(*) over (partition by source) payloads, row_number() over (partition by source order by entropy desc, doc_id) k from e join documents using (doc_id)) select source, id, entropy, payloads from r where k = 1")
 def headline_opacity(spark, sf_dir):
     source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
@@ -159,7 +194,7 @@ def headline_opacity(spark, sf_dir):
 
 
 RECONCILE = """with o as (select p_partkey observed_id, lower(p_name) name, p_brand || '/' || p_type as purl, nullif((p_size % 7)::varchar, '0') as version from part),
-d as (select p_partkey declared_id, case when p_partkey % 5 = 0 then 'unknown-' || p_partkey else lower(p_name) end name, case when p_partkey % 3 = 0 then null else p_brand || '/' || p_type || '/' || p_partkey end purl, case when p_partkey % 4 = 0 then '9' else nullif((p_size % 7)::varchar, '0') end as version from part where p_partkey % 2 = 0),
+d as (select p_partkey declared_id, case when p_partkey % 5 = 0 then 'unknown-' || p_partkey else lower(p_name) end name, case when p_partkey % 3 = 0 then null else p_brand || '/' || p_type || '/' || p_partkey end purl, case when p_partkey % 4 = 0 then '9' else nullif((p_size % 7)::varchar, '0') end as version from part),
 k as (select declared_id, d.version dv, 0 place, purl as key from d union all select declared_id, version, 1, name from d),
 j as (select distinct observed_id, version ov, purl as key from o union select observed_id, version, name from o),
 m as (select declared_id, dv, observed_id, ov, row_number() over (partition by declared_id order by place, observed_id, ov nulls first) r from k join j using (key)),
@@ -173,7 +208,7 @@ def reconcile_declared(spark, sf_dir):
     part, size = table(spark, sf_dir, "part"), F.nullif((F.col("p_size") % 7).cast("string"), F.lit("0"))
     purl, key = F.concat_ws("/", "p_brand", "p_type"), F.col("p_partkey")
     observed = part.select(key.alias("observed_id"), F.lower("p_name").alias("name"), purl.alias("purl"), size.alias("version"))
-    declared = part.where(key % 2 == 0).select(
+    declared = part.select(
         key.alias("declared_id"), F.when(key % 5 == 0, F.concat(F.lit("unknown-"), key)).otherwise(F.lower("p_name")).alias("name"),
         F.when(key % 3 != 0, F.concat_ws("/", purl, key)).alias("purl"), F.when(key % 4 == 0, "9").otherwise(size).alias("version"),
     )
@@ -249,16 +284,6 @@ def batch_summary(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("payloads"), F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"), F.count_distinct("lang").alias("langs"), F.max("n_chars").alias("longest"))
 
 
-LITERALS = "(values (1, 'pkg:deb/debian/curl@7.88?arch=arm', 'libc6 (>= 2.3), zlib1g | zlib1g-dev, libc6:any', 'libssl.so.1.1', 18292771), (2, 'pkg:npm/left-pad', 'busybox', 'libfoo.so', 305209369)) t(id, purl, deps, so, bcd)"
-
-
-@query(f"select id, regexp_replace(purl, '@[^?#]*', '') purl_base, array_to_string(list_distinct_ordered, ',') depends, regexp_replace(so, '\\.so(\\.[0-9]+)*$', '') soname, substr(h, 5, 4) || '-' || substr(h, 1, 2) || '-' || substr(h, 3, 2) as date from (select *, case id when 1 then ['libc6', 'zlib1g', 'zlib1g-dev'] else ['busybox'] end list_distinct_ordered, lpad(printf('%X', bcd), 8, '0') h from {LITERALS})")
-def scalar_keys(spark, sf_dir):
-    rows = [(1, "pkg:deb/debian/curl@7.88?arch=arm", "libc6 (>= 2.3), zlib1g | zlib1g-dev, libc6:any", "libssl.so.1.1", 18292771), (2, "pkg:npm/left-pad", "busybox", "libfoo.so", 305209369)]
-    t = spark.createDataFrame(rows, "id int, purl string, deps string, so string, bcd bigint")
-    return t.select("id", scalars.purl_base(F.col("purl")).alias("purl_base"), F.array_join(scalars.depends(F.col("deps")), ",").alias("depends"), scalars.soname_key(F.col("so")).alias("soname"), scalars.bcd_date(F.col("bcd")).alias("date"))
-
-
 @query("select event_id, event_type, json_extract(props, '$.k')::bigint k from events")
 def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
@@ -269,14 +294,6 @@ def blank_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", stats.blank(F.encode("text", "UTF-8")).alias("blank"))
 
 
-CONTROL = "Package: busybox\nVersion: 1.35\nStatus: install ok installed\nDepends: libc,\n libcrypt\n\nPackage: gone\nVersion: 2\nStatus: deinstall ok\n\nVersion: 3\n\nPackage: curl\nVersion: 7\nVersion: 8\n"
-
-
-@query("select id, name, version, architecture, depends from (values (1, 'busybox', '1.35', null::varchar, 'libc, libcrypt'), (1, 'curl', '8', null, null)) t(id, name, version, architecture, depends)")
-def control_blocks(spark, sf_dir):
-    return control.packages(spark.createDataFrame([(1, CONTROL)], "id int, text string"), "id", "text")
-
-
 @query()
 def cyclonedx_doc(spark, sf_dir):
     source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")

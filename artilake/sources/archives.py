@@ -19,10 +19,12 @@ def cpio_entries(data: bytes) -> tuple[dict[str, dict], str | None]:
     out: dict[str, dict] = {}
     links: dict[tuple, list[str]] = {}
     at = 0
-    while at + 110 <= len(data):
+    while at < len(data):
+        if data[at] != 0 and at + 110 > len(data):
+            return out, f"cut off at {at}"
         if data[at : at + 6] not in MAGICS:
             if data[at] == 0:  # padding between archives
-                at += 4
+                at += 1
                 continue
             return out, f"no header at {at}"
         try:
@@ -37,8 +39,8 @@ def cpio_entries(data: bytes) -> tuple[dict[str, dict], str | None]:
         if name == "TRAILER!!!":
             links = {}
             continue
-        if ".." in name.split("/"):
-            return out, f"a path that leaves the archive: {name}"
+        if ".." in name.split("/"):  # a path that leaves the archive: its entry is passed over
+            continue
         name = posixpath.normpath(name).lstrip("/")
         form = TYPES.get(mode & 0o170000, "special")
         out[name] = {"name": name, "node_type": form, "mode": mode & 0o7777, "mtime": mtime, "size": size, "target": body.decode("utf-8", "replace") if form == "symlink" else None, "content": body if form == "file" else None}

@@ -1,27 +1,88 @@
-"""Package databases of control blocks, in the JVM."""
+"""Package databases, control files, file lists and os-release files, in the JVM.
+
+A database is text of one row; its blocks stand between lines that are blank. Texts are split where
+they are read and nothing is shuffled until packages are joined to what else is known of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import cpe23, depends
+
+#: Keys of a distribution's name and version, the best first.
+OS_NAME, OS_VERSION, OS_TEXT = ("DISTRIB_ID", "NAME"), ("DISTRIB_RELEASE", "VERSION_ID", "VERSION"), ("DISTRIB_DESCRIPTION", "PRETTY_NAME")
+FIELD = "^([A-Za-z][A-Za-z0-9-]*):[ \\t]*(.*)$"
+
+
+def chunks(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, block, text: the stretches between blank lines."""
+    plain = F.regexp_replace(F.col(text_col), "\r\n?", "\n")
+    return texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(plain, "\n\\s*\n")).alias("block", "text"))
+
+
+def last_wins(pairs: Column) -> Column:
+    """A map of (key, value) structs; of a key given twice the last value counts."""
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    values = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"])
+    return F.map_from_arrays(keys, values)
+
 
 def blocks(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, block, fields: one row per block; of a field given twice the last value counts, and lines that begin with a space go on with the one before."""
-    joined = F.regexp_replace(F.regexp_replace(F.col(text_col), "\r", ""), "\n[ \t]+", " ")
-    rows = texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(joined, "\n{2,}")).alias("block", "_text"))
-    pairs = F.filter(F.transform(F.split("_text", "\n"), lambda x: F.struct(F.regexp_extract(x, "^([^:\\s]+):", 1).alias("key"), F.trim(F.regexp_replace(x, "^[^:\\s]+:", "")).alias("value"))), lambda p: p["key"] != "")
-    last = F.aggregate(pairs, F.expr("cast(map() as map<string,string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.map_from_arrays(F.array(p["key"]), F.array(p["value"]))))
-    return rows.select("id", F.col("block").cast("bigint").alias("block"), last.alias("fields")).where(F.size("fields") > 0)
+    """id, block, fields: one row per block with a field. A line that begins with a blank goes on with the field before."""
+    joined = F.regexp_replace("text", "\n[ \t]+", " ")
+    pairs = F.transform(F.filter(F.split(joined, "\n"), lambda x: x.rlike(FIELD)), lambda x: F.struct(F.regexp_extract(x, FIELD, 1).alias("key"), F.trim(F.regexp_extract(x, FIELD, 2)).alias("value")))
+    return chunks(texts, id_col, text_col).select("id", F.col("block").cast("bigint").alias("block"), last_wins(pairs).alias("fields")).where(F.size("fields") > 0)
 
 
 def installed(fields: Column) -> Column:
     """Has the block a package name, and a status of installed or none?"""
-    status = F.element_at(fields, "Status")
-    return (F.coalesce(F.element_at(fields, "Package"), F.lit("")) != "") & (status.isNull() | status.contains("installed"))
+    status = F.coalesce(F.element_at(fields, "Status"), F.lit(""))
+    return (F.coalesce(F.element_at(fields, "Package"), F.lit("")) != "") & ((status == "") | status.contains("installed"))
 
 
 def packages(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, name, version, architecture, depends"""
+    """id, name, version, architecture, depends: of the installed packages."""
+    f = F.col("fields")
+    one = lambda k: F.nullif(F.element_at(f, k), F.lit(""))
+    return blocks(texts, id_col, text_col).where(installed(f)).select("id", F.element_at(f, "Package").alias("name"), one("Version").alias("version"), one("Architecture").alias("architecture"), one("Depends").alias("depends"))
+
+
+def apk_packages(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, name, version, architecture from blocks with single-letter keys P, V and A."""
+    pairs = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike("^[A-Za-z]:")), lambda x: F.struct(F.substring(x, 1, 1).alias("key"), F.trim(F.substring(x, 3, 1 << 20)).alias("value")))
+    rows = chunks(texts, id_col, text_col).select("id", last_wins(pairs).alias("f"))
+    one = lambda k: F.nullif(F.element_at("f", k), F.lit(""))
+    return rows.select("id", one("P").alias("name"), one("V").alias("version"), one("A").alias("architecture")).where("name is not null")
+
+
+def os_release(texts: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
+    """id, path, name, version, description: of each id's files, by path, the first that names a distribution."""
+    line = "(?m)^([A-Z_]+)=['\"]?([^'\"\\n]*)['\"]?$"
+    t = F.col(text_col)
+    pairs = F.zip_with(F.regexp_extract_all(t, F.lit(line), F.lit(1)), F.regexp_extract_all(t, F.lit(line), F.lit(2)), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    rows = texts.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), last_wins(pairs).alias("f"))
+    best = lambda keys: F.coalesce(*(F.nullif(F.element_at("f", k), F.lit("")) for k in keys))
+    named = rows.select("id", "path", best(OS_NAME).alias("name"), best(OS_VERSION).alias("version"), best(OS_TEXT).alias("text")).where("name is not null")
+    first = named.groupBy("id").agg(F.min(F.struct("path", "name", "version", F.coalesce("text", "name").alias("description"))).alias("m"))
+    return first.select("id", "m.*")
+
+
+def owners(lists: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
+    """id, file, package: file lists (…/<package>.list or …/<package>:<architecture>.list) as rows; of two
+    lists that claim a file the first by path has it."""
+    package = F.split_part(F.regexp_replace(F.substring_index(path_col, "/", -1), "\\.list$", ""), F.lit(":"), F.lit(1))
+    rows = lists.where(F.col(path_col).endswith(".list")).select(F.col(id_col).alias("id"), F.col(path_col).alias("_path"), package.alias("package"), F.explode(F.split(text_col, "\r?\n")).alias("file"))
+    rows = rows.withColumn("file", F.trim("file")).where(F.col("file").startswith("/"))
+    return rows.groupBy("id", "file").agg(F.min(F.struct("_path", "package")).alias("m")).select("id", "file", F.col("m.package").alias("package"))
+
+
+def controlled(found: DataFrame, controls: DataFrame) -> DataFrame:
+    """The packages (id, name, version, …) with license, cpe, source and depends of their control records
+    (id, path, fields); of a package's records the last by path counts. Packages without one stay."""
     f = F.col("fields")
-    return blocks(texts, id_col, text_col).where(installed(f)).select("id", F.element_at(f, "Package").alias("name"), F.element_at(f, "Version").alias("version"), F.element_at(f, "Architecture").alias("architecture"), F.element_at(f, "Depends").alias("depends"))
+    one = lambda k: F.nullif(F.element_at(f, k), F.lit(""))
+    last = controls.withColumn("name", F.coalesce(one("Package"), F.regexp_replace(F.substring_index("path", "/", -1), "\\.control$", ""))).groupBy("id", "name").agg(F.max_by("fields", "path").alias("fields"))
+    rows = found.join(last, ["id", "name"], "left")
+    return rows.select(*found.columns, one("License").alias("license"), cpe23(one("CPE-ID"), F.col("version")).alias("cpe"), F.coalesce(one("SourceName"), one("Source")).alias("source"), F.when(f.isNotNull(), depends(one("Depends"))).alias("depends"))

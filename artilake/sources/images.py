@@ -60,13 +60,9 @@ def _hex_records(data: bytes):
             break
         elif form in (2, 4):
             base = int.from_bytes(body, "big") << (4 if form == 2 else 16)
-        elif form == 3:
-            entry = (int.from_bytes(body[:2], "big") << 4) + int.from_bytes(body[2:], "big")
-        elif form == 5:
+        elif form in (3, 5):
             entry = int.from_bytes(body, "big")
-        else:
-            raise ValueError(f"line {k}: unknown type {form:02x}")
-    return parts, entry
+    return parts, entry  # records of unknown types are passed over
 
 
 def _s_records(data: bytes):
@@ -76,14 +72,14 @@ def _s_records(data: bytes):
         line = line.strip()
         if not line:
             continue
-        if not re.fullmatch(r"S[0-9](?:[0-9A-Fa-f]{2}){3,}", line):
+        if not re.fullmatch(r"S[0-9](?:[0-9A-Fa-f]{2}){2,}", line):
             raise ValueError(f"line {k}: no S-record")
         form, raw = int(line[1]), bytes.fromhex(line[2:])
         if raw[0] != len(raw) - 1:
             raise ValueError(f"line {k}: wrong length")
         if sum(raw) & 0xFF != 0xFF:
             raise ValueError(f"line {k}: wrong checksum")
-        if form in width:
+        if form in width and len(raw) >= width[form] + 2:  # others, and those too short for an address, are passed over
             at, body = int.from_bytes(raw[1 : 1 + width[form]], "big"), raw[1 + width[form] : -1]
             if form <= 3:
                 parts.append((at, body))
