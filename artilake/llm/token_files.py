@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ranges, released, scratch_fs, shared_dir, stored
+from .common import documents, released, scratch_fs, shared_dir, stored
 from .tokens import encoder, small_batches, tokenizer_path
 
 MAGIC = b"RANSIDS1"
@@ -38,8 +38,8 @@ HEAD = struct.Struct("<8s7I2I")
 TABLE_MAGIC, TABLE_HEAD = b"RANSTAB1", struct.Struct("<8s3I")
 SCALE = 20
 LOW = np.uint64(1 << 32)
-#: Bytes of text for which there is one file and one task, beyond the session's shuffle partitions.
-RANGE_BYTES = 64_000_000
+#: Ids for which there is one file and one task, beyond the session's shuffle partitions.
+RANGE_TOKENS = 16_000_000
 WORD_BITS = np.uint64(32)
 
 
@@ -228,7 +228,8 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 1, id_co
     path = path or tokenizer_path()
     tokens = stored(tokenized(docs, path, end_id, id_col, text_col).withColumn("hash", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id()), "tokens")
     size = max(encoder(path).tokenizer.get_vocab_size(), end_id + 1)
-    freq = frequencies(count_ids(tokens, size))
+    counts = count_ids(tokens, size)
+    freq = frequencies(counts)
     root, table_of = shared_dir(spark, "token-files"), {}
     Table(freq).save(f"{root}/table.bin")
     shared = spark.sparkContext.broadcast(freq)  # as large as the vocabulary
@@ -266,7 +267,7 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 1, id_co
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
 
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges(docs, text_col, RANGE_BYTES))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // RANGE_TOKENS))
     ordered = tokens.repartitionByRange(parts, "id", "hash", "row").sortWithinPartitions("id", "hash", "row")
     ordered.select("id", "ids").mapInArrow(run, BLOCKS).write.parquet(f"{root}/blocks")
     released(tokens)
