@@ -14,6 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 PATTERN = "struct<regex:string,weight:double,vgroup:bigint>"
 SIGNATURE = f"struct<name:string,supplier:string,type:string,purl:string,description:string,version_note:string,patterns:array<{PATTERN}>>"
@@ -49,7 +50,7 @@ def read(spark: SparkSession, directories: list[str]) -> DataFrame:
     return rows
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def groups_of(regex: pd.Series) -> pd.Series:
     """Capture groups of a regular expression; -1 if it does not compile."""
 

@@ -40,7 +40,7 @@ def components(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     a = cdx.select("id", "form", "seq", text(c["name"]).alias("name"), text(c["version"]).alias("version"), text(c["purl"]).alias("purl"), text(c["cpe"]).alias("cpe"), F.coalesce(text(c["type"]), F.lit("library")).alias("type"), F.filter(licences, lambda x: x.isNotNull()).alias("licenses"), text(c["supplier"]["name"]).alias("supplier"), text(c["description"]).alias("description"))
     spdx = rows.where("form = 'spdx'").select("id", "form", F.posexplode(F.from_json("_text", SPDX)["packages"]).alias("seq", "c"))
     refs = F.coalesce(c["externalRefs"], F.expr("array()"))
-    last = lambda test: text(F.element_at(F.filter(refs, lambda r: test(F.lower(r["referenceType"]))), -1)["referenceLocator"])
+    last = lambda test: text(F.try_element_at(F.filter(refs, lambda r: test(F.lower(r["referenceType"]))), F.lit(-1))["referenceLocator"])
     said = lambda x: F.when(~F.upper(text(x)).isin(*NONE), text(x))
     supplier = text(F.regexp_replace(c["supplier"], "^[^:]*:", ""))
     b = spdx.select("id", "form", "seq", text(c["name"]).alias("name"), text(c["versionInfo"]).alias("version"), F.when(F.size(refs) > 0, last(lambda k: k == "purl")).alias("purl"), F.when(F.size(refs) > 0, last(lambda k: k.startswith("cpe23"))).alias("cpe"), F.lit("library").alias("type"), _listed(F.array(said(c["licenseConcluded"]), said(c["licenseDeclared"]))).alias("licenses"), supplier.alias("supplier"), F.coalesce(text(c["description"]), text(c["summary"])).alias("description"))

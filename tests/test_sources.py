@@ -41,6 +41,8 @@ ELF = b"\x7fELF\x01\x01\x01" + b"\0" * 9 + struct.pack("<HHIIIIIHHH", 2, 40, 1,
         (UF2, ("uf2", 16, None, 0, 2, 0, b"efEFGH", None)),
         (ELF, ("elf", 0x200, 0x100, 0, 0, 0, b"code", None)),
         (HEX.replace("61", "62").encode(), ("intel-hex", 0, None, 0, 0, 0, HEX.replace("61", "62").encode(), "line 3: wrong checksum")),
+        (f"{hex_line(0, 9, b'??')}\n{hex_line(2, 0, b'z')}\n{hex_line(0, 3, bytes([1, 2, 3, 4]))}".encode(), ("intel-hex", 2, 0x01020304, 0, 0, 0, b"z", None)),
+        (f"{s_line(5, 3, 2, b'')}\nS10200FD\n{s_line(1, 16, 2, b'abc')}".encode(), ("s-record", 16, None, 0, 0, 0, b"abc", None)),
         (b"plain", ("raw", 0, None, 0, 0, 0, b"plain", None)),
         (None, ("raw", 0, None, 0, 0, 0, b"", None)),
     ],
@@ -64,13 +66,14 @@ def test_read_files(spark, tmp_path):
 def test_cpio(spark):
     end = entry("TRAILER!!!", 0)
     data = entry("etc", 0o040755) + entry("etc/a", 0o100644, b"old") + entry("b", 0o100644, b"", 9, 2) + entry("c", 0o100644, b"both", 9, 2) + entry("l", 0o120777, b"etc/a") + end + b"\0" * 8 + entry("etc/a", 0o100600, b"newer") + end
-    rows = archives.cpio(spark.createDataFrame([("x", data), ("y", entry("../z", 0o100644, b"q")), ("z", data[:150]), ("n", None)], "path string, content binary")).collect()
+    rows = archives.cpio(spark.createDataFrame([("x", data), ("y", entry("../z", 0o100644, b"q") + b"\0" + entry("kept", 0o100644, b"k")), ("z", data[:150]), ("n", None)], "path string, content binary")).collect()
     got = {(r.path, r.name): (r.node_type, r.size, r.target, bytes(r.content) if r.content is not None else None) for r in rows if not r.error}
     assert got[("x", "etc/a")] == ("file", 5, None, b"newer")
     assert got[("x", "b")] == got[("x", "c")] == ("file", 4, None, b"both")
     assert got[("x", "l")] == ("symlink", 5, "etc/a", None)
     assert got[("x", "etc")][0] == "directory"
-    assert {r.path for r in rows if r.error} == {"y"} and len([k for k in got if k[0] == "x"]) == 5
+    assert [(r.path, r.error) for r in rows if r.error] == [("z", "cut off at 116")] and len([k for k in got if k[0] == "x"]) == 5
+    assert [k for k in got if k[0] == "y"] == [("y", "kept")]
 
 
 def test_control_blocks_of_null_and_empty_texts(spark):
