@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import documents, inventory, magics, packs, signatures, stats, strings
 from ..sources import images
-from . import relations, values  # noqa: F401  (they register their queries)
+from . import relations, reports, values  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 BYTES = "b as (select doc_id, unnest(range(len(h))) o, unnest(h) x from (select doc_id, regexp_extract_all(hex(encode(text)), '..') h from documents))"
