@@ -233,86 +233,6 @@ def swap_change(model: Model, texts: Iterable[str], seed: int = 3) -> tuple[floa
     return total / max(1, n), n
 
 
-def score(self, text: str | None) -> float:
-        z = self.bias + sum(sorted(self.weights[form] * v for form, v in features(text, self.known).items()))
-        return float(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))
-
-
-def fit(texts: list[str], labels: list[int], prior: float, words: int = WORDS, ridge: float = RIDGE, penalty: float = SWAP_PENALTY, rounds: int = ROUNDS, chance: float = CHANCE, seed: int = 7, identity: Sequence[Sequence[str]] = IDENTITY, terms: int = TERMS) -> Model:
-    """`prior`: the share of toxic documents among all labelled ones, of which the texts are a sample by class.
-    `identity`: groups of terms to swap; up to `terms` terms more are found in the texts."""
-    y = np.array(labels, float)
-    if not len(y) or y.min() == y.max():
-        share = min(max(prior, 1e-6), 1 - 1e-6)
-        return Model({}, float(np.log(share / (1 - share))))
-    of = [Counter(), Counter()]  # only dense forms are counted, and only the model's are held for each text
-    for text, label in zip(texts, labels, strict=True):
-        of[label].update(w for w, v in features(text).items() if v >= 0.5)
-    n = [float((y == k).sum()) for k in (0, 1)]
-
-    def gain(w: str) -> float:  # chi-squared of presence against class
-        a, b = of[1][w], of[0][w]
-        c, d = n[1] - a, n[0] - b
-        return len(y) * (a * d - b * c) ** 2 / max(1.0, n[0] * n[1] * (a + b) * (c + d))
-
-    often = [w for w in of[0].keys() | of[1].keys() if of[0][w] + of[1][w] >= 3]
-    # chance alone lets a word pass in one fit of 1 / CHANCE: without this, rare words of few toxic documents drown the telling ones
-    least = NormalDist().inv_cdf(1 - chance / (2 * max(1, len(often)))) ** 2
-    telling = [w for w in often if gain(w) >= least]
-    groups = [*identity, *swap_groups(texts, labels, terms)]
-    group_of = {term: group for group in groups for term in group}
-    vocab = {w: k for k, w in enumerate(sorted(telling, key=lambda w: (-gain(w), w))[:words])}
-    vocab |= {w: len(vocab) + k for k, w in enumerate(sorted(group_of.keys() - vocab.keys()))}
-
-    def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        cols = [[vocab[w] for w in s if w in vocab] for s in rows]
-        return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.array([c for x in cols for c in x], np.int64)
-
-    rng = random.Random(seed)
-    pairs = []
-    for text in texts:
-        some = [here for part in SENTENCE.split(text or "") if (here := words_of(part)) & group_of.keys()]
-        for here in some if len(some) <= SWAPS else rng.sample(some, SWAPS):
-            here, other = forms(here), forms(swapped(here, group_of, rng))
-            pairs.append(((here - other) & vocab.keys(), (other - here) & vocab.keys()))
-    sets = [features(t, frozenset(vocab)) for t in texts]
-    rows, cols = matrix(sets)
-    value = np.array([v for s in sets for w, v in s.items() if w in vocab], float)
-    gone_r, gone_c = matrix([a for a, _ in pairs])
-    come_r, come_c = matrix([b for _, b in pairs])
-    w, bias, step = np.zeros(len(vocab)), 0.0, np.zeros(len(vocab) + 1)
-    weight = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])  # the classes count alike
-    second = np.full(len(vocab) + 1, 1e-8)
-    for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols] * value, len(y)) + bias, -40, 40)))
-        r = weight * (p - y)
-        grad = np.bincount(cols, r[rows] * value, len(w)) + ridge * w
-        if pairs:
-            move = (np.bincount(come_r, w[come_c], len(pairs)) - np.bincount(gone_r, w[gone_c], len(pairs))) * (penalty / len(pairs))
-            grad += np.bincount(come_c, move[come_r], len(w)) - np.bincount(gone_c, move[gone_r], len(w))
-        grad = np.append(grad, r.sum())
-        step = 0.9 * step + 0.1 * grad
-        second = 0.999 * second + 0.001 * grad * grad
-        change = 0.05 * (step / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
-        w, bias = w - change[:-1], bias - change[-1]
-    return Model({t: float(w[k]) for t, k in vocab.items() if abs(w[k]) > 1e-4}, float(bias), len(pairs), groups)
-
-
-def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
-    ids = docs.where(train).select(F.col(id_col).alias("_id")).join(known, "_id")
-    n = {r[0]: r[1] for r in ids.groupBy("_label").count().collect()}
-    chance = F.when(F.col("_label") == 1, min(1.0, sample_docs / max(1, n.get(1, 0)))).otherwise(min(1.0, sample_docs / max(1, n.get(0, 0))))
-    order = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30))
-    picked = known.where(order < chance * float(1 << 30)).join(ids.select("_id").distinct(), "_id", "left_semi")
-    if picked.count() <= BROADCAST_ROWS:  # else, as when few ids have very many labels, an ordinary join
-        picked = F.broadcast(picked)
-    rows = docs.where(train).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id")
-    sample = sorted(rows.collect(), key=lambda r: (r["_id"], r["_label"], r["_text"] or ""))
-    prior = n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
-    return fit([r["_text"] or "" for r in sample], [r["_label"] for r in sample], prior)
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score"""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # WORDS words at most

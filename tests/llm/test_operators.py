@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from artilake.llm import decontaminate, language, lm, media, ngram_join, packing, secrets, substrings, suffixes, token_files, tokens, toxicity
+from artilake.llm import decontaminate, language, lm, media, ngram_join, packing, queries, secrets, substrings, suffixes, token_files, tokens, toxicity
 from artilake.llm.common import id_remainder
 
 ODD = [None, "", " \n", "a", "one two", "Straße ÉCOLE 12 don't <|endoftext|> ½", "x" * 3000, "same words in this text again and again " * 20, "same words in this text again and again " * 20, "日本語 テキスト Σίσυφος İ", "tab\tand\x1cseparator\x00zero"]
@@ -279,3 +279,112 @@ def test_toxicity_counterfactual():
 def test_hashes_of_media_texts(spark):
     rows = media.features(media.read_archives(media.write_archives(frame(spark, ["abc", "abc"])))).collect()
     assert {r.payload_sha256 for r in rows} == {hashlib.sha256(b"abc" + b" " * 189).hexdigest()} and len({(r.media_sha256, r.feature) for r in rows}) == 1
+
+
+COLUMNS = {
+    "op1": ["doc_id", "held_out", "score", "predicted"],
+    "op2": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+    "op3": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op4": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op5": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op6": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op7": ["doc_id"],
+    "op8": ["doc_id", "held_out", "lang_pred", "score"],
+    "op9": ["doc_id", "n_shingles", "component_id"],
+    "op10": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+}
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_queries_by_name(spark, documents, name):
+    df = queries.queries()[name](spark, SF)
+    assert [c for c in df.columns if c in COLUMNS[name.split("_")[0]]] == COLUMNS[name.split("_")[0]]
+    rows = df.collect()
+    ids = [r.doc_id for r in rows]
+    assert set(ids) <= set(documents)
+    if name.startswith("op10"):
+        enc = tokens.encoder(tokens.tokenizer_path())
+        cut = {}
+        for r in rows:
+            cut.setdefault(r.doc_id, []).append(r)
+        for i, pieces in cut.items():
+            data, at = enc.ids(documents[i].text) + np.array([2], "<u4").tobytes(), 0
+            for p in sorted(pieces, key=lambda r: r.start):
+                assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(data) // 4, zlib.crc32(data[4 * at : 4 * (at + p.length)]))
+                at += p.length
+            assert at == len(data) // 4
+        assert set(cut) == set(documents)
+    elif not name.startswith("op7"):
+        assert sorted(ids) == sorted(documents)
+    if name.startswith("op2"):
+        for r in rows:
+            data = (documents[r.doc_id].text or "").encode()
+            payload = data + b" " * (-len(data) % 192 if data else 192)
+            assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.payload_sha256) == (len(data), len(payload), zlib.crc32(payload[-16:]), hashlib.sha256(payload).hexdigest())
+    if name.startswith("op6"):
+        enc, at = tokens.encoder(tokens.tokenizer_path()), 0
+        for r in sorted(rows, key=lambda r: r.doc_id):
+            data = enc.ids(documents[r.doc_id].text) + np.array([1], "<u4").tobytes()
+            assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(data) // 4, zlib.crc32(data))
+            at += r.n_tokens
+    if name.startswith("op8"):
+        held = [r for r in rows if r.held_out and r.lang_pred != "und"]
+        assert sum(r.lang_pred == documents[r.doc_id].lang for r in held) >= 0.9 * len(held)
+    if name.startswith("op1_"):
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+
+
+def test_penalty_acts_on_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model, free = (toxicity.learn(docs, labels, id_remainder("doc_id", 3) != 1, penalty=p) for p in (1.0, 0.0))
+    held = [r.text for r in docs.where(id_remainder("doc_id", 3) == 1).limit(60).collect()]
+    (change, n), (freely, m) = toxicity.swap_change(model, held), toxicity.swap_change(free, held)
+    assert model.pairs == free.pairs > 100 and n == m > 50 and model.weights != free.weights and change < 0.7 * freely
+
+
+def test_language_model_score(spark, corpus):
+    """Against counts of whole pairs and the same weights, cell by cell."""
+    got = {r.id: r for r in lm.score(corpus, id_remainder("doc_id", 7) == 2, chunk_bytes=3000).collect()}
+    words = {r.doc_id: re.findall(rb"[^\x20\x09-\x0d]+", r.text.encode().lower()) + [b" "] for r in corpus.collect()}
+    train = {i: w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2}
+    single = Counter(w for ws in train.values() for w in ws)
+    pair = Counter(p for ws in train.values() for p in zip([b" ", *ws], ws))
+    n, v, hist = sum(single.values()), len(single), Counter()
+    for ws in train.values():
+        for h, w in zip([b" ", *ws], ws):
+            c = single[h] - 1
+            p2 = np.array([min((pair[h, w] - 1) / c, 1.0) if c > 0 else 0.0])
+            hist[int(lm.bucket(np.array([c]))[0]), int(lm.binned(p2)[0]), int(lm.binned(np.array([(single[w] - 1) / (n - 1)]))[0])] += 1
+    weights = lm.learn_weights([(*k, m) for k, m in hist.items()], v)
+    for i, ws in words.items():
+        want = 0.0
+        for h, w in zip([b" ", *ws], ws):
+            a = weights[int(lm.bucket(np.array([single[h]]))[0])]
+            want += np.log10(a[0] * (min(pair[h, w] / single[h], 1.0) if single[h] else 0.0) + a[1] * single[w] / n + a[2] / (v + 1))
+        assert abs(got[i].score - want) < 1e-6
+
+
+def test_masking_and_first_copies_with_clashing_names(spark):
+    docs = frame(spark, ["password = abcdefghijkl1", prose(1, 40), prose(1, 40), None, ""])
+    for c in ("_found_spans", "_found_id", "_found_hash", "_text_hash", "_id", "_key", "_words", "_place", "id", "text_key"):
+        docs = docs.withColumn(c, F.lit(7))
+    masked = secrets.masked(docs)
+    assert masked.columns == docs.columns and {r.doc_id: r.text for r in masked.collect()}[0] == "[SECRET]"
+    kept = ngram_join.keep_first(docs.unionByName(docs.where("doc_id = 1")), 5, 80)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 3, 4]
+
+
+def test_sketches_bound_the_overlap():
+    r = np.random.default_rng(4)
+    for n, m in ((5, 900), (300, 310), (3000, 2000)):
+        pool = r.integers(0, 1 << 63, n + m, dtype=np.uint64) * np.uint64(2)
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[n // 2 : n], pool[n : n + m // 2]]))
+        shared = len(np.intersect1d(a, b))
+        assert shared <= ngram_join.most_shared(ngram_join.sketch(a), ngram_join.sketch(b)) <= min(len(a), len(b)) or min(len(a), len(b)) > 4 * 1024
