@@ -18,7 +18,7 @@ def found_components(spark, sf_dir):
     })
 
 
-@query("""select p_name as name, case when p_size > 9 then '1.' || p_size end as version, 'pkg:deb/' || p_name || case when p_size > 9 then '@1.' || p_size else '' end || case when p_partkey % 2 = 0 then '?arch=arm' else '' end purl, substr(repeat(p_type || ' ', 40), 1, 400) description, case when p_size > 9 then 0.97 else 0.9 end confidence from part""")
+@query("""select p_name as name, case when p_size > 9 then '1.' || p_size end as version, 'pkg:deb/' || p_name || case when p_size > 9 then '@1.' || p_size else '' end || case when p_partkey % 2 = 0 then '?arch=arm' else '' end purl, substr(repeat(p_type || ' ', 40), 1, 400) description, case when p_size > 9 then 0.97::double else 0.9::double end confidence from part""")
 def package_components(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.when(F.col("p_size") > 9, F.concat(F.lit("1."), "p_size")).alias("version"), F.when(F.col("p_partkey") % 2 == 0, "arm").alias("architecture"), F.repeat(F.concat("p_type", F.lit(" ")), F.lit(40)).alias("description"), F.lit("deb").alias("purl_type"))
     return evidence.package_components(rows)
