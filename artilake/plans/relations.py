@@ -4,11 +4,12 @@ follows the blueprint's rules over the same rows, without the texts and document
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import folds, framing, inventory, layout, magics
-from ..sources import control, vendor_documents
+from ..sources import control, esp, vendor_documents
 from .registry import query, table
 
 
@@ -270,3 +271,22 @@ def payload_compression(spark, sf_dir):
 def settled_verdicts(spark, sf_dir):
     opaque = F.col("event_type") == "error"
     return table(spark, sf_dir, "events").select("event_id", folds.settled(F.when(opaque, "opaque").otherwise("plaintext"), opaque, F.col("event_id") % 3).alias("verdict"))
+
+
+@query("""with r as (select s_nationkey path, s_suppkey k, row_number() over (partition by s_nationkey order by s_suppkey) i from supplier)
+select path, (i - 1)::int as entry, case when k % 11 = 0 then 'partition-' || (i - 1) else 'p' || k end as name, case k % 3 when 0 then 'app' when 1 then 'data' else '0x02' end as type,
+case when k % 3 = 0 and k % 256 between 16 and 31 then 'ota_' || (k % 256 - 16) when k % 3 = 0 and k % 256 = 0 then 'factory'
+when k % 3 = 1 and k % 256 = 1 then 'phy' when k % 3 = 1 and k % 256 = 4 then 'nvs_keys' when k % 3 = 1 and k % 256 = 130 then 'spiffs'
+when k % 3 = 1 and k % 256 between 0 and 6 then ['ota','phy','nvs','coredump','nvs_keys','efuse','undefined'][(k % 256 + 1)::int] when k % 3 = 1 and k % 256 between 128 and 131 then ['esphttpd','fat','spiffs','littlefs'][(k % 256 - 127)::int]
+when k % 3 = 0 and k % 256 = 32 then 'test' else '0x' || lower(lpad(to_hex((k % 256)::bigint), 2, '0')) end as subtype, k::bigint * 4096 as address, 4096::bigint as size from r where i <= 95""")
+def esp_partitions(spark, sf_dir):
+    """Suppliers of a nation as the entries of one flash's partition table; a table ends after 95."""
+    key = F.col("s_suppkey").cast("bigint")
+    little = lambda n: F.reverse(F.regexp_extract_all(F.lpad(F.hex(n), 8, "0"), F.lit("(..)")))
+    name = F.when(key % 11 == 0, "").otherwise(F.concat(F.lit("p"), key.cast("string")))
+    digits = F.concat(F.lit("AA50"), F.lpad(F.hex(key % 3), 2, "0"), F.lpad(F.hex(key % 256), 2, "0"), F.array_join(little(key * 4096), ""), F.lit("00100000"), F.rpad(F.hex(name.cast("binary")), 40, "0"))
+    flash = F.expr("array_join(transform(array_sort(collect_list(struct(k, e))), x -> x.e), '')")
+    rank = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    rows = table(spark, sf_dir, "supplier").withColumn("_rank", rank).where(F.col("_rank") <= esp.MAX_ENTRIES + 1)  # one more than a table holds, so that its end is met
+    files = rows.select(F.col("s_nationkey").alias("path"), key.alias("k"), digits.alias("e")).groupBy("path").agg(F.unhex(flash).alias("content"))
+    return esp.partitions(files, 0).select("path", F.col("index").alias("entry"), "name", "type", "subtype", "address", "size")
