@@ -78,7 +78,8 @@ def minima(x: np.ndarray, width: int) -> np.ndarray:
 
 def slices(data: np.ndarray, lens: np.ndarray, length: int = LENGTH, part: int = PART, near: int = NEAR) -> tuple[tuple, tuple]:
     """((minimiser, hash, start, number of strings) of each slice, (hash, start) of each picked part);
-    the documents stand one after another."""
+    the documents stand one after another. Picked hashes are the least of many, so nearly all lie in the
+    lowest range of values: they are mixed again (one to one), and ranges of them hold about equally many."""
     out, parts = [], []
     ends = np.cumsum(lens, dtype=np.int64)
     end_of = np.repeat(ends, lens)
@@ -93,7 +94,7 @@ def slices(data: np.ndarray, lens: np.ndarray, length: int = LENGTH, part: int =
         least = minima(key, near - part + 1)
         at = (least[low + np.arange(len(least)) + near <= end_of[low : low + len(least)]] & mask).astype(np.int64)
         at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at  # one part is picked again and again
-        parts.append((g[at], low + at))
+        parts.append((mixed(g[at]), low + at))
         if len(here) < length:
             continue
         n = len(here) - length + 1
@@ -110,7 +111,7 @@ def slices(data: np.ndarray, lens: np.ndarray, length: int = LENGTH, part: int =
         inside = first < own  # the strings from there on belong to the next segment
         first, count = first[inside], np.minimum(count[inside], own - first[inside])
         at = (least[first] & mask).astype(np.int64)
-        out.append((g[at], h.of(first, count + length - 1), low + first, count))
+        out.append((mixed(g[at]), h.of(first, count + length - 1), low + first, count))
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(none, *out, strict=True)), tuple(np.concatenate(x) for x in zip((none[0], none[2]), *parts, strict=True))
 

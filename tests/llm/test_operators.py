@@ -128,6 +128,14 @@ def test_media_round_trip_and_bad_member(spark, corpus):
     assert small.count() > archives.count() and media.read_archives(small).where("error is null").count() == corpus.count()
 
 
+def test_minimisers_fill_their_ranges():
+    data = np.frombuffer(random.Random(3).randbytes(600_000), np.uint8)
+    (key, *_), (part, _) = substrings.slices(data, np.full(300, 2000, "<u4"))
+    for x in (key, part):
+        filled = np.bincount(substrings.shard_of(x, 16), minlength=16)
+        assert filled.max() < 1.5 * filled.mean()
+
+
 def test_repeated_substrings(spark, corpus):
     docs = [(r.doc_id, r.text.encode()) for r in corpus.collect()]
     seen = Counter(t[k : k + 400] for _, t in docs for k in range(len(t) - 399))
