@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import folds, framing, inventory, layout, magics
-from ..sources import control, esp, vendor_documents
+from ..sources import control, esp, vendor_documents, wrappers
 from .registry import query, table
 
 
@@ -290,3 +290,18 @@ def esp_partitions(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").withColumn("_rank", rank).where(F.col("_rank") <= esp.MAX_ENTRIES + 1)  # one more than a table holds, so that its end is met
     files = rows.select(F.col("s_nationkey").alias("path"), key.alias("k"), digits.alias("e")).groupBy("path").agg(F.unhex(flash).alias("content"))
     return esp.partitions(files, 0).select("path", F.col("index").alias("entry"), "name", "type", "subtype", "address", "size")
+
+
+@query("""with d as (select doc_id, octet_length(encode(coalesce(text, '')))::bigint n from documents)
+select doc_id, 0 as level, 'chk' as format, 40::bigint as header_length, 40::bigint as "offset", 16 + n as length from d where doc_id % 2 = 0
+union all select doc_id, (1 - doc_id % 2)::int, 'frm', 16, case when doc_id % 2 = 0 then 56 else 16 end, n from d where doc_id % 3 <> 0""")
+def nested_headers(spark, sf_dir):
+    """Each text as the payload of an FRM header, for even ids inside a CHK header; every third FRM header states a wrong length and is none."""
+    key, text = F.col("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    stated = F.octet_length(text) + 16 + F.when(key % 3 == 0, 1).otherwise(0)
+    little = F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(stated), 8, "0"), F.lit("(..)"))), "")
+    frm = F.concat(F.lit(wrappers.FRM), F.unhex(F.concat(F.lit("00000001"), little, F.lit("00000000"))), text)
+    chk = F.concat(F.lit(wrappers.CHK), F.unhex(F.rpad(F.lit("00000028"), 72, "0")))
+    files = table(spark, sf_dir, "documents").select(key.alias("path"), F.when(key % 2 == 0, F.concat(chk, frm)).otherwise(frm).alias("content"))
+    part = F.get("parts", F.lit(0))
+    return wrappers.chain(files).select(F.col("path").alias("doc_id"), "level", "format", "header_length", part["offset"].alias("offset"), part["length"].alias("length"))
